@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segrank.llm import bpe, extract, simhash
+from segrank.llm import bpe, decontaminate, extract, quality, simhash
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,10 +31,23 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op7_decontamination": op7_decontamination,
     "op9_html_extraction": op9_html_extraction,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontaminate.oracle(),
+    "op10_quality_rules": quality.oracle(),
+}
