@@ -65,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 def _bitmap(grams: DataFrame, bits: int) -> str:
     """The words of the bitmap, as a list of numbers; at most 2 to the power of MOST_BITS - 6 of them come to the driver."""
     place = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = grams.select(F.shiftright(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("w")).collect()
+    rows = grams.select(F.shiftright(place, 6).alias("i"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("w")).collect()
     words = [0] * (1 << (bits - 6))
     for r in rows:
         words[r["i"]] = r["w"]
@@ -94,10 +94,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         word = F.get(bitmap, F.shiftright(h, 6).bitwiseAND(mask).cast("int"))
         return F.shiftrightunsigned(word, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
 
+    def placed(length: int) -> Column:
+        return F.transform(f"_c{length}", lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.array_join(F.slice("_w", i + 1, length), " ").alias("gram")))
+
     places = []
     for length in lengths:
         rows = rows.withColumn(f"_c{length}", F.filter(F.transform(f"_h{length}", lambda h, i: F.when(possible(h), i)), lambda i: i.isNotNull())).drop(f"_h{length}")
-        places.append(F.transform(f"_c{length}", lambda i, length=length: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.array_join(F.slice("_w", i + 1, length), " ").alias("gram"))))
+        places.append(placed(length))
     rows = rows.withColumn("_c", F.concat(*places)).select("_rid", "_id", "n_words", F.explode_outer("_c").alias("_c"))
     rows = rows.select("_rid", "_id", "n_words", "_c.pos", "_c.length", "_c.gram")
     known = found.select("gram", "items")
