@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segrank.llm import bpe, decontaminate, extract, quality, simhash
+from segrank.llm import bpe, decontaminate, extract, pii, quality, simhash, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), urls.listed(spark))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,6 +35,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,13 +49,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_personal_data": op4_personal_data,
     "op7_decontamination": op7_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filter": urls.oracle(),
     "op7_decontamination": decontaminate.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
