@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segrank.llm import bpe, decontaminate, extract, pii, quality, simhash, urls
+from segrank.llm import bpe, decontaminate, extract, pii, quality, simhash, tokencount, urls, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_personal_data": op4_personal_data,
+    "op6_warc_roundtrip": op6_warc_roundtrip,
     "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
