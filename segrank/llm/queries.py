@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segrank.llm import bpe, decontaminate, extract, pii, quality, simhash, tokencount, urls, warc
+from segrank.llm import bpe, decontaminate, extract, pii, quality, simhash, substring, tokencount, urls, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +43,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(_table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_personal_data": op4_personal_data,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_warc_roundtrip": op6_warc_roundtrip,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": urls.oracle(),
+    "op5_substring_dedup": substring.oracle(),
     "op7_decontamination": decontaminate.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
