@@ -46,7 +46,7 @@ def rederive(frame: DataFrame, summary: dict, iterations: int = 10_000) -> list[
     floor = "greatest(spf_prediction, 1e-9D)"
     k = _k(summary["dispersion"])
     spark.sql(f"""
-        SELECT *, md5(unit_id) AS tie, CASE WHEN spf_prediction IS NULL THEN cast(casualties_36mo AS DOUBLE)
+        SELECT *, md5(unit_id) AS audit_key, CASE WHEN spf_prediction IS NULL THEN cast(casualties_36mo AS DOUBLE)
           ELSE 1 / (1 + {k} * {floor}) * {floor} + (1 - 1 / (1 + {k} * {floor})) * casualties_36mo END AS eb2 FROM audit_units""").createOrReplaceTempView("audit_scored")
     n = int(spark.sql("SELECT count_if(is_priority) FROM audit_units").first()[0])
     total = int(spark.sql("SELECT sum(holdout_casualties) FROM audit_units").first()[0] or 0)
@@ -58,12 +58,12 @@ def rederive(frame: DataFrame, summary: dict, iterations: int = 10_000) -> list[
         got = spark.sql(f"SELECT sum(holdout_casualties) FROM ({where})").first()[0] or 0
         return 100 * got / total if total else None
 
-    picks = {"r1": "SELECT * FROM audit_scored WHERE is_priority", "r2": f"SELECT * FROM audit_scored ORDER BY casualties_36mo DESC, tie LIMIT {n}", "r3": f"SELECT * FROM audit_scored ORDER BY eb2 DESC, tie LIMIT {n}"}
+    picks = {"r1": "SELECT * FROM audit_scored WHERE is_priority", "r2": f"SELECT * FROM audit_scored ORDER BY casualties_36mo DESC, audit_key LIMIT {n}", "r3": f"SELECT * FROM audit_scored ORDER BY eb2 DESC, audit_key LIMIT {n}"}
     for name, score in (("r2_stratified", "casualties_36mo"), ("r3_stratified", "eb2")):
         picks[name] = f"""
             SELECT * FROM (SELECT *, min(CASE WHEN run / whole >= CASE unit_type WHEN 'corridor' THEN 0.5D ELSE 0.15D END THEN place END) OVER (PARTITION BY borough, unit_type) AS stop
-              FROM (SELECT *, row_number() OVER (PARTITION BY borough, unit_type ORDER BY {score} DESC, tie) AS place, cast(sum(casualties_36mo) OVER (PARTITION BY borough, unit_type) AS DOUBLE) AS whole,
-                      sum(casualties_36mo) OVER (PARTITION BY borough, unit_type ORDER BY {score} DESC, tie ROWS UNBOUNDED PRECEDING) AS run
+              FROM (SELECT *, row_number() OVER (PARTITION BY borough, unit_type ORDER BY {score} DESC, audit_key) AS place, cast(sum(casualties_36mo) OVER (PARTITION BY borough, unit_type) AS DOUBLE) AS whole,
+                      sum(casualties_36mo) OVER (PARTITION BY borough, unit_type ORDER BY {score} DESC, audit_key ROWS UNBOUNDED PRECEDING) AS run
                     FROM audit_scored WHERE borough IS NOT NULL AND unit_type IN ('corridor', 'intersection')) WHERE whole > 0) WHERE place <= coalesce(stop, place)"""
     rates = {name: caught(sql) for name, sql in picks.items()}
     checks += [Check(f"rate {name}", summary["rates"][name], rate, PP) for name, rate in rates.items()]
