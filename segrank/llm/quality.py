@@ -109,7 +109,7 @@ def choose_cutoffs(counts: DataFrame, risk: float = RISK, error: float = ERROR)
     return chosen
 
 
-def verdict(rated: DataFrame, cutoffs: dict[str, dict[str, int]], stratum_col: str = "lang") -> Column:
+def verdict(cutoffs: dict[str, dict[str, int]], stratum_col: str = "lang") -> Column:
     """Whether a document is kept: the base rules and its stratum's cutoffs."""
     bad = F.lit(False)
     for stratum, by in sorted(cutoffs.items()):
@@ -131,18 +131,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     require(labels, id_col, "quality")
     rated = with_rates(materialize(signals(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col), "signals"))
     cutoffs = choose_cutoffs(holdout_counts(rated, labels, id_col, stratum_col), risk, error)
-    return rated.select(id_col, *BASE_COLUMNS, "base_failed", verdict(rated, cutoffs, stratum_col).alias("kept"))
+    return rated.select(id_col, *BASE_COLUMNS, "base_failed", verdict(cutoffs, stratum_col).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts and signals are written once and the texts read again when cutoffs are known."""
+    """The rows of ``docs`` that are kept, with their columns.
+
+    The signals alone are written and give the cutoffs; a second pass over the texts computes them again and
+    filters in place, so no text is shuffled or written twice and no id is needed.
+    """
     require(docs, id_col, text_col, stratum_col)
-    own = [c for c in (*BASE_COLUMNS, "n_lines") if c in docs.columns]
-    if own:
+    if own := [c for c in (*BASE_COLUMNS, "n_lines", "base_failed", *CUTOFFS) if c in docs.columns]:
         raise ValueError(f"columns {own} have the names of signals")
-    rated = with_rates(materialize(signals(docs, text_col), "rated"))
-    cutoffs = choose_cutoffs(holdout_counts(rated, labels, id_col, stratum_col), risk, error)
-    return rated.where(verdict(rated, cutoffs, stratum_col)).select(*docs.columns)
+    seen = materialize(signals(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col), "signals")
+    cutoffs = choose_cutoffs(holdout_counts(with_rates(seen), labels, id_col, stratum_col), risk, error)
+    # the row number keeps the optimizer from copying the signals' expressions into the filter, over and over
+    rated = with_rates(signals(docs, text_col)).withColumn("_q_row", F.monotonically_increasing_id())
+    return rated.where(verdict(cutoffs, stratum_col) & (F.col("_q_row") >= 0)).select(*docs.columns)
 
 
 def oracle(risk: float = RISK, error: float = ERROR) -> str:
