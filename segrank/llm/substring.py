@@ -6,7 +6,7 @@ its own runs.  A shard's runs make a compressed FM-index over words: suffixes so
 a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts.  All
 windows are searched backward at once, word by word; a window whose suffix interval holds a document
 of a smaller id is a repeat.  Runs that a task has met before in a smaller document are repeats at
-once and needn't travel.
+once and needn't travel; the others travel packed, a compressed block for each shard and task.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from segrank.llm.common import require
+from segrank.llm.common import materialize, require
 
 WINDOW = 13
 #: Words of one FM-index, and runs that a task remembers.
 SHARD_WORDS, SEEN = 60_000, 400_000
-RUNS = "m long, doc long, tk long, at int, stop int, seq binary"
+#: Bytes of runs that a task holds before it packs them; input bytes of a shard, more for more input, between these; shards at least.
+PACK_BYTES, LEAST_SHARD, MOST_SHARD, LEAST_SHARDS = 24 << 20, 8 << 20, 64 << 20, 24
+#: Documents with repeats, and intervals of them, up to which these are broadcast to the texts; more are joined by a shuffle.
+MOST_CUT, MOST_INTERVALS = 200_000, 2_000_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -60,18 +63,39 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Runs to be compared (seq set) and repeats already known (seq null)."""
-    seen: dict[int, int] = {}
-    out: list[list] = [[] for _ in range(6)]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["m", "doc", "tk", "at", "stop", "seq"]
+def pack(columns: list[list[int]], seqs: list[bytes] | None) -> bytes:
+    """doc, tk, at, stop and, for runs to be compared, half of the key's bits and the words; of words none holds a line end."""
+    doc, tk, at, stop, *m = columns
+    parts = [np.array([len(doc), seqs is not None], np.int64), np.array(doc, np.int64), np.array(tk, np.int64), np.array(at, np.int32), np.array(stop, np.int32)]
+    if seqs is not None:
+        parts.append(np.array(m[0], np.uint32))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts) + (b"\n".join(seqs) if seqs is not None else b""))
+
+
+def unpack(block: bytes) -> tuple[list[np.ndarray], list[bytes] | None]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n, full = np.frombuffer(data, np.int64, 2).tolist()
+    columns, at = [], 16
+    for kind in (np.int64, np.int64, np.int32, np.int32, *([np.uint32] if full else [])):
+        columns.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return columns, data[at:].split(b"\n") if full else None
 
-    def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-        for c in out:
-            c.clear()
-        return batch
+
+def _cut(batches: Iterator[pa.RecordBatch], window: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """(shard, block): packed runs to be compared, and packed repeats already known."""
+    seen: dict[int, int] = {}
+    runs: dict[int, tuple[list[list[int]], list[bytes]]] = {}
+    known: dict[int, list[list[int]]] = {}
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for shard, (columns, seqs) in runs.items():
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(columns, seqs)], pa.binary())], names=["shard", "block"])
+        for shard, columns in known.items():
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(columns, None)], pa.binary())], names=["shard", "block"])
+        runs.clear()
+        known.clear()
 
     for b in batches:
         for k in range(b.num_rows):
@@ -84,32 +108,32 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             line = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             froms = np.concatenate(([0], ends[:-1] + 1))[begin].tolist()
-            seqs = [line[s:e] for s, e in zip(froms, ends[stop - 1].tolist(), strict=True)]
-            m = keys[begin].view(np.int64).tolist()
-            known = np.zeros(len(seqs), bool)
-            for i, seq in enumerate(seqs):
+            to, half = (keys[begin] % np.uint64(shards)).tolist(), (keys[begin] >> np.uint64(32)).tolist()
+            old = np.zeros(len(begin), bool)
+            for i, (s, e, at, until) in enumerate(zip(froms, ends[stop - 1].tolist(), begin.tolist(), stop.tolist(), strict=True)):
+                seq = line[s:e]
                 d = xxhash.xxh3_128_intdigest(seq)
                 first = seen.get(d)
                 if first is not None and first < doc:
-                    known[i] = True
+                    old[i] = True
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen[d] = doc
-                out[0].append(m[i])
-                out[1].append(doc)
-                out[2].append(tk)
-                out[3].append(int(begin[i]))
-                out[4].append(int(stop[i]))
-                out[5].append(seq)
-            if known.any():
-                for a, e in merged(begin[known], stop[known]):
-                    for c, v in zip(out, (xxhash.xxh64_intdigest(b"%d %d" % (doc, a)) - (1 << 63), doc, tk, a, e, None), strict=True):
+                columns, seqs = runs.setdefault(to[i], ([[], [], [], [], []], []))
+                for c, v in zip(columns, (doc, tk, at, until, half[i]), strict=True):
+                    c.append(v)
+                seqs.append(seq)
+                held += e - s + 200
+            if old.any():
+                columns = known.setdefault(doc % shards, [[], [], [], []])
+                for a, e in merged(begin[old], stop[old]):
+                    for c, v in zip(columns, (doc, tk, a, e), strict=True):
                         c.append(v)
-            if len(out[0]) >= 8192:
-                yield flush()
-    if out[0]:
-        yield flush()
+            if held >= PACK_BYTES:
+                yield from flush()
+                held = 0
+    yield from flush()
 
 
 class WaveletMatrix:
@@ -208,11 +232,8 @@ def _by_run(which: np.ndarray, local: np.ndarray, hit: np.ndarray, n: int) -> li
 
 
 def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Repeated intervals (doc, tk, at, stop) of rows sorted by (m, doc)."""
+    """Repeated intervals (doc, tk, at, stop) of blocks sorted by shard."""
     out: list[tuple] = []
-    rows: list[tuple] = []  # (doc, tk, at, words) of whole groups and the group that goes on
-    group: dict[int, int] = {}  # digest to the smallest document of the group's distinct runs
-    last, held, begun = None, 0, 0
 
     def search(chosen: list[tuple]) -> None:
         total = sum(len(r[3]) for r in chosen)
@@ -243,38 +264,72 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         out.clear()
         return made
 
-    for b in batches:
-        for m, doc, tk, at, stop, seq in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if seq is None:
-                out.append((doc, tk, at, stop))
-                continue
-            if m != last:
+    def shard(blocks: list[tuple[list[np.ndarray], list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        doc, tk, at, stop, m = (np.concatenate([c[i] for c, _ in blocks]) for i in range(5))
+        seqs = [s for _, x in blocks for s in x]
+        order = np.lexsort((doc, m))
+        m, doc = m[order], doc[order]
+        new = np.concatenate(([True], m[1:] != m[:-1]))
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(m)) - 1
+        shared = np.repeat(doc[begin] < doc[last], last - begin + 1)  # keys of one document are no repeats
+        rows: list[tuple] = []  # (doc, tk, at, words)
+        group: dict[int, int] = {}  # digest to the smallest document of the group's distinct runs
+        held = 0
+        for i in np.flatnonzero(shared).tolist():
+            if new[i]:
                 if held >= SHARD_WORDS:
                     search(rows)
                     rows, held = [], 0
-                last, group, begun = m, {}, len(rows)
+                group = {}
+            k = int(order[i])
+            seq = seqs[k]
             d = xxhash.xxh3_128_intdigest(seq)
-            if group.setdefault(d, doc) < doc:
-                out.append((doc, tk, at, stop))
-                continue
-            words = seq.split(b" ")
-            rows.append((doc, tk, at, words))
-            held += len(words)
-        if len(out) >= 4096:
+            if group.setdefault(d, int(doc[i])) < doc[i]:
+                out.append((int(doc[i]), int(tk[k]), int(at[k]), int(stop[k])))
+            else:
+                words = seq.split(b" ")
+                rows.append((int(doc[i]), int(tk[k]), int(at[k]), words))
+                held += len(words)
+            if len(out) >= 4096:
+                yield batch()
+        if rows:
+            search(rows)
+
+    now, blocks = None, []
+    for b in batches:
+        for number, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            columns, seqs = unpack(block)
+            if seqs is None:
+                out.extend(zip(*(c.tolist() for c in columns), strict=True))
+            else:
+                if number != now and blocks:
+                    yield from shard(blocks)
+                    blocks = []
+                now = number
+                blocks.append((columns, seqs))
+        if out:
             yield batch()
-    if rows:
-        search(rows)
+    if blocks:
+        yield from shard(blocks)
     if out:
         yield batch()
 
 
+def shards_for(docs: DataFrame) -> int:
+    """Shards by the planner's estimate of the input's bytes; any number gives the same result."""
+    size = float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1e17:  # the planner doesn't know
+        return 4096
+    return int(min(1 << 22, max(LEAST_SHARDS, size / min(MOST_SHARD, max(LEAST_SHARD, size / 2000)))))
+
+
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc, tk, cuts ARRAY<STRUCT<at, stop>>: word intervals covered by windows that start in a smaller document too."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    runs = rows.mapInArrow(lambda b: _cut(b, window), RUNS)
-    every = Window.partitionBy("m").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = runs.withColumn("lo", F.min("doc").over(every)).withColumn("hi", F.max("doc").over(every)).where("seq is null or lo < hi").drop("lo", "hi")
-    found = runs.mapInArrow(lambda b: _search(b, window), "doc long, tk long, at int, stop int")
+    shards = shards_for(docs)
+    blocks = rows.mapInArrow(lambda b: _cut(b, window, shards), "shard int, block binary").repartition("shard").sortWithinPartitions("shard")
+    found = blocks.mapInArrow(lambda b: _search(b, window), "doc long, tk long, at int, stop int")
     return found.groupBy("doc", "tk").agg(F.collect_list(F.struct("at", "stop")).alias("cuts"))
 
 
@@ -286,7 +341,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others; extra columns aren't read.
     """
     require(docs, id_col, text_col)
-    cuts = repeated_intervals(docs, id_col, text_col, window)
+    cuts = materialize(repeated_intervals(docs, id_col, text_col, window), "cuts")
+    n, intervals = cuts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
+    if n <= MOST_CUT and intervals <= MOST_INTERVALS:
+        cuts = F.broadcast(cuts)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("_tk"), F.col(text_col).alias("text"))
     rows = rows.join(cuts, (F.col("id") == F.col("doc")) & (F.col("_tk") == F.col("tk")), "left").select("id", "text", "cuts")
 
