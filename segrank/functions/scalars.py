@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 
 def number(c: Column | str) -> Column:
@@ -54,7 +55,7 @@ def in_trailing(ts: Column, as_of: Column, months: int) -> Column:
     return (ts > as_of - F.make_ym_interval(F.lit(0), F.lit(months))) & (ts <= as_of)
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def blake2b_key(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Eight bytes of BLAKE2b; binary order is the order of unsigned big-endian numbers."""
     for s in ids:
