@@ -1,6 +1,6 @@
 """Substring dedup: FM-indexes of shards, through which documents are streamed.
 
-Texts are cut into runs of consecutive windows that share the smallest hash of their word pairs, so
+Texts are cut into runs of consecutive windows that share the smallest hash of their four-word pieces, so
 equal windows always meet in the shard of that hash and every document goes only to the shards of
 its own runs.  A shard's runs make a compressed FM-index over words: suffixes sorted to the depth of
 a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits with rank counts.  All
@@ -20,15 +20,13 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from segrank.llm.common import materialize, require
+from segrank.llm.common import require
 
 WINDOW = 13
 #: Words of one FM-index, and runs that a task remembers.
 SHARD_WORDS, SEEN = 60_000, 400_000
 #: Bytes of runs that a task holds before it packs them; input bytes of a shard, more for more input, between these; shards at least.
-PACK_BYTES, LEAST_SHARD, MOST_SHARD, LEAST_SHARDS = 24 << 20, 8 << 20, 64 << 20, 24
-#: Documents with repeats, and intervals of them, up to which these are broadcast to the texts; more are joined by a shuffle.
-MOST_CUT, MOST_INTERVALS = 200_000, 2_000_000
+PACK_BYTES, LEAST_SHARD, MOST_SHARD, LEAST_SHARDS = 32 << 20, 8 << 20, 64 << 20, 24
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -36,13 +34,20 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def window_keys(words: list[bytes], window: int) -> np.ndarray:
-    """For each window the smallest hash of its neighbouring word pairs."""
+    """For each window the smallest hash of its four neighbouring words; shorter ones would be shared by chance."""
+    if window < 4:
+        raise ValueError("a window has four words or more")
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            g = a * np.uint64(0x9E3779B97F4A7C15) ^ (b >> np.uint64(29)) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)
+            g ^= g >> np.uint64(32)
+            return g * np.uint64(0xD6E8FEB86659FD93)
+
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        g = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] >> np.uint64(29)) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        g ^= g >> np.uint64(32)
-        g *= np.uint64(0xD6E8FEB86659FD93)
-    span, have = window - 1, 1  # pairs in a window; minima of 1, 2, 4, ... neighbours
+    pairs = joined(h[:-1], h[1:])
+    g = joined(pairs[:-2], pairs[2:])
+    span, have = window - 3, 1  # fours in a window; minima of 1, 2, 4, ... neighbours
     while have * 2 <= span:
         g = np.minimum(g[:-have], g[have:])
         have *= 2
@@ -341,10 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others; extra columns aren't read.
     """
     require(docs, id_col, text_col)
-    cuts = materialize(repeated_intervals(docs, id_col, text_col, window), "cuts")
-    n, intervals = cuts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
-    if n <= MOST_CUT and intervals <= MOST_INTERVALS:
-        cuts = F.broadcast(cuts)
+    cuts = repeated_intervals(docs, id_col, text_col, window)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("_tk"), F.col(text_col).alias("text"))
     rows = rows.join(cuts, (F.col("id") == F.col("doc")) & (F.col("_tk") == F.col("tk")), "left").select("id", "text", "cuts")
 
