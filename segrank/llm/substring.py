@@ -74,7 +74,7 @@ def pack(columns: list[list[int]], seqs: list[bytes] | None) -> bytes:
     parts = [np.array([len(doc), seqs is not None], np.int64), np.array(doc, np.int64), np.array(tk, np.int64), np.array(at, np.int32), np.array(stop, np.int32)]
     if seqs is not None:
         parts.append(np.array(m[0], np.uint32))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts) + (b"\n".join(seqs) if seqs is not None else b""))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in parts) + (b"\n".join(seqs) if seqs is not None else b""))
 
 
 def unpack(block: bytes) -> tuple[list[np.ndarray], list[bytes] | None]:
