@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segrank.llm import bpe, common, decontaminate, pii, quality, simhash
+from segrank.llm import bpe, common, decontaminate, pii, quality, shingles
 from segrank.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
+    """Of each group of near copies (five-word shingles alike by 0.8 or more) the document of the smallest id."""
+    return shingles.drop_near_copies(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
