@@ -219,7 +219,9 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     plain = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rank"].alias("rank"))
     df = df.withColumn("_cand", F.array_sort(F.transform(F.filter("_cand", chosen), plain)))
-    first = F.filter("_cand", lambda c: ~F.exists("_cand", lambda o: (o < c) & (o["end"] > c["start"])))  # of overlapping ones, the first
+    none = F.expr("cast(array() as array<struct<start:int,end:int,rank:int>>)")
+    kept = lambda acc, c: F.when((F.size(acc) == 0) | (c["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(c))).otherwise(acc)
+    first = F.aggregate("_cand", none, kept)  # a span stays if it begins behind the last one kept
     return df.withColumn("_base", F.transform("_base", plain)).withColumn("_all", F.array_sort(F.concat("_base", F.when(F.size("_cand") > 1, first).otherwise(F.col("_cand"))))).drop("_cand")
 
 
