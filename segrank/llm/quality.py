@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Signals of a text are computed in one pass.  A labelled holdout says which cutoffs are safe: within
-each stratum (the language) and for each signal, the strictest cutoff is taken that is proven, by
-an exact binomial bound, to reject no more than ``risk`` of good documents.  The risk is shared out
-over the signals and the error probability over all tests made (Bonferroni), so the whole rule
-rejects more than ``risk`` of a stratum's good documents with probability ``error`` at most.  A
-stratum without enough labels gets no cutoff and keeps its documents.
+Signals of a text are computed in one pass.  Cutoffs form one ladder of rungs, fixed beforehand, from
+loose to strict; a rung rejects what exceeds any of its cutoffs.  A labelled holdout says how far down
+each stratum (the language) may go: its good documents that a rung rejects are counted jointly over all
+signals, and rungs are tested in order (fixed-sequence testing) until one isn't proven, by the exact
+binomial bound, to reject no more than ``risk`` of the stratum's good documents.  Testing in a fixed
+order needs no correction for the number of rungs; the error probability is shared out over the strata
+(Bonferroni), so all strata keep the promise together with probability 1 - ``error`` at least.  A
+stratum without enough labels gets no rung and keeps its documents: at 0.05, 0.05 and four strata, 86
+good documents without a rejection are enough.
 """
 
 from __future__ import annotations
@@ -14,14 +17,24 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from segrank.llm.common import materialize, require
+from segrank.llm.common import MAX_BROADCAST_KEYS, materialize, require
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Allowed false rejection in a stratum, and the probability of exceeding it.
 RISK, ERROR = 0.05, 0.05
-#: Signal and its cutoffs in thousandths, strictest first; a document is rejected if the signal exceeds the cutoff.
-CUTOFFS = {"symbol_share": (60, 100, 150, 200, 300), "dup_line_share": (200, 300, 400, 500, 700), "repeat_share": (100, 200, 300, 400), "word_length": (9000, 10000, 12000, 15000)}
+SIGNALS = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
+#: Cutoffs of SIGNALS in thousandths, loosest rung first; a document is rejected if a signal exceeds its cutoff.
+LADDER = (
+    (300, 700, 500, 15_000),
+    (200, 600, 400, 14_000),
+    (150, 500, 400, 12_000),
+    (100, 500, 400, 12_000),
+    (60, 500, 400, 12_000),
+    (60, 400, 300, 10_000),
+    (60, 300, 300, 10_000),
+    (60, 300, 200, 10_000),
+)
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -88,72 +101,95 @@ def proven(n: int, k: int, p: float, level: float) -> bool:
     return n > 0 and binomial_tail(n, k, p) <= level
 
 
-def holdout_counts(rated: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
-    """One row for each stratum: good labelled documents that pass the base rules, and how many of them each cutoff rejects."""
-    good = labels.where("quality = 1").select(F.col(id_col)).distinct()
-    held = rated.where("not base_failed").join(good, id_col, "left_semi")
-    aggs = [F.count_if(F.col(s) > c).alias(f"{s}_{c}") for s, cs in CUTOFFS.items() for c in cs]
-    return held.groupBy(F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *aggs)
+def over(rung: tuple[int, ...]) -> Column:
+    """Whether any signal exceeds the rung's cutoff."""
+    out = F.lit(False)
+    for s, c in zip(SIGNALS, rung, strict=True):
+        out = out | (F.col(s) > c)
+    return out
 
 
-def choose_cutoffs(counts: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, int]]:
-    """Cutoffs by stratum and signal. A row for each stratum (language) comes to the driver, none for a document."""
+def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.where("quality = 1").select(F.col(id_col).alias("_q_id")).where("_q_id is not null").distinct()
+
+
+def holdout_counts(rated: DataFrame) -> DataFrame:
+    """stratum, n, r0, r1, ...: for each stratum the good documents that pass the base rules, and how many of them each rung rejects."""
+    return rated.where("not base_failed").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(over(r)).alias(f"r{j}") for j, r in enumerate(LADDER)))
+
+
+def last_proven(n: int, rejected: list[int], risk: float, level: float) -> int | None:
+    """The last rung before the first one that isn't proven."""
+    at = None
+    for j, k in enumerate(rejected):
+        if not proven(n, k, risk, level):
+            break
+        at = j
+    return at
+
+
+def choose_cutoffs(counts: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, tuple[int, ...]]:
+    """A rung by stratum. A row for each stratum (language) comes to the driver, none for a document."""
     rows = counts.collect()
-    tests = max(1, len(rows)) * sum(map(len, CUTOFFS.values()))
-    chosen: dict[str, dict[str, int]] = {}
-    for r in rows:
-        for s, cs in CUTOFFS.items():
-            safe = [c for c in cs if proven(r["n"], r[f"{s}_{c}"], risk / len(CUTOFFS), error / tests)]
-            if safe:
-                chosen.setdefault(r["stratum"], {})[s] = min(safe)
-    return chosen
-
-
-def verdict(cutoffs: dict[str, dict[str, int]], stratum_col: str = "lang") -> Column:
-    """Whether a document is kept: the base rules and its stratum's cutoffs."""
+    found = {r["stratum"]: last_proven(r["n"], [r[f"r{j}"] for j in range(len(LADDER))], risk, error / max(1, len(rows))) for r in rows}
+    return {s: LADDER[j] for s, j in found.items() if j is not None}
+
+
+def verdict(cutoffs: dict[str, tuple[int, ...]]) -> Column:
+    """Whether a document is kept: the base rules and its stratum's rung."""
     bad = F.lit(False)
-    for stratum, by in sorted(cutoffs.items()):
-        over = F.lit(False)
-        for s, c in sorted(by.items()):
-            over = over | (F.col(s) > c)
-        bad = bad | ((F.coalesce(F.col(stratum_col), F.lit("")) == stratum) & over)
+    for stratum, rung in sorted(cutoffs.items()):
+        bad = bad | ((F.col("stratum") == stratum) & over(rung))
     return ~F.col("base_failed") & ~bad
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str, stratum_col: str, *more: Column) -> DataFrame:
+    """Only what is needed, under names that no column of ``docs`` can clash with."""
+    return docs.select(F.col(id_col).alias("_q_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("_q_text"), *more)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """id, the base counts, base_failed and kept for every row of ``docs``.
 
-    Null and empty texts fail the base rules; a null stratum is one of its own; ids that are null or not
-    labelled are judged by cutoffs of their stratum; repeated rows are judged each; with an empty table of
-    labels only the base rules count. Signals are written once to the shared folder.
+    Null and empty texts fail the base rules; texts of any length are read whole, in memory that grows with their
+    words; a null stratum is the one of the empty name; ids that are null or not labelled are judged by cutoffs of
+    their stratum; repeated rows are judged each, and equal texts alike; an empty table gives no rows, and with an
+    empty table of labels only the base rules count; extra columns aren't read. Signals are written once to the
+    shared folder, so that texts are read once.
     """
     require(docs, id_col, text_col, stratum_col)
     require(labels, id_col, "quality")
-    rated = with_rates(materialize(signals(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col), "signals"))
-    cutoffs = choose_cutoffs(holdout_counts(rated, labels, id_col, stratum_col), risk, error)
-    return rated.select(id_col, *BASE_COLUMNS, "base_failed", verdict(cutoffs, stratum_col).alias("kept"))
+    rated = with_rates(materialize(signals(_named(docs, id_col, text_col, stratum_col), "_q_text").drop("_q_text"), "signals"))
+    cutoffs = choose_cutoffs(holdout_counts(rated.join(good_ids(labels, id_col), "_q_id", "left_semi")), risk, error)
+    return rated.select(F.col("_q_id").alias(id_col), *BASE_COLUMNS, "base_failed", verdict(cutoffs).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns.
+    """The rows of ``docs`` that judge() keeps, with their columns, whatever these are called.
 
-    The signals alone are written and give the cutoffs; a second pass over the texts computes them again and
-    filters in place, so no text is shuffled or written twice and no id is needed.
+    Cutoffs come from the good labelled documents alone (found by a broadcast of their ids; of more than
+    MAX_BROADCAST_KEYS, by a join of the signals, which are narrow); one pass over the texts then filters in
+    place. No text is shuffled or written. Rows are treated as in judge().
     """
     require(docs, id_col, text_col, stratum_col)
-    if own := [c for c in (*BASE_COLUMNS, "n_lines", "base_failed", *CUTOFFS) if c in docs.columns]:
-        raise ValueError(f"columns {own} have the names of signals")
-    seen = materialize(signals(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col), "signals")
-    cutoffs = choose_cutoffs(holdout_counts(with_rates(seen), labels, id_col, stratum_col), risk, error)
+    require(labels, id_col, "quality")
+    good = good_ids(labels, id_col)
+    named = _named(docs, id_col, text_col, stratum_col)
+    if good.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        held = signals(named.join(F.broadcast(good), "_q_id", "left_semi"), "_q_text").drop("_q_text")
+    else:
+        held = signals(named, "_q_text").drop("_q_text").join(good, "_q_id", "left_semi")
+    cutoffs = choose_cutoffs(holdout_counts(with_rates(held)), risk, error)
     # the row number keeps the optimizer from copying the signals' expressions into the filter, over and over
-    rated = with_rates(signals(docs, text_col)).withColumn("_q_row", F.monotonically_increasing_id())
-    return rated.where(verdict(cutoffs, stratum_col) & (F.col("_q_row") >= 0)).select(*docs.columns)
+    whole = _named(docs, id_col, text_col, stratum_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_whole"))
+    rated = with_rates(signals(whole, "_q_text")).withColumn("_q_row", F.monotonically_increasing_id())
+    return rated.where(verdict(cutoffs) & (F.col("_q_row") >= 0)).select("_q_whole.*")
 
 
 def oracle(risk: float = RISK, error: float = ERROR) -> str:
     """DuckDB SQL of judge() over documents and labels."""
-    cut = ", ".join(f"('{s}', {c})" for s, cs in CUTOFFS.items() for c in cs)
-    rate = "CASE sig " + " ".join(f"WHEN '{s}' THEN {s}" for s in CUTOFFS) + " END"
+    rungs = ", ".join(f"({j}, {', '.join(map(str, r))})" for j, r in enumerate(LADDER))
+    any_over = " OR ".join(f"{s} > c{i}" for i, s in enumerate(SIGNALS))
     return f"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
@@ -170,12 +206,12 @@ r AS (
   SELECT *, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_share,
          CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length,
          (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM s),
-cutoffs(sig, c) AS (VALUES {cut}),
+rungs(j, {", ".join(f"c{i}" for i in range(len(SIGNALS)))}) AS (VALUES {rungs}),
 held AS (SELECT r.* FROM r WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-k AS (SELECT stratum, sig, c, count(*) AS n, sum(CASE WHEN {rate} > c THEN 1 ELSE 0 END)::BIGINT AS k FROM held CROSS JOIN cutoffs GROUP BY ALL),
+k AS (SELECT stratum, j, count(*) AS n, sum(CASE WHEN {any_over} THEN 1 ELSE 0 END)::BIGINT AS k FROM held CROSS JOIN rungs GROUP BY ALL),
 tail AS (
-  SELECT stratum, sig, c, least(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk / len(CUTOFFS)!r}) + (n - i) * ln({1 - risk / len(CUTOFFS)!r})))) AS p
+  SELECT stratum, j, least(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln({1 - risk!r})))) AS p
   FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM k) GROUP BY ALL),
-best AS (SELECT stratum, sig, min(c) AS c FROM tail WHERE p <= {error!r} / ((SELECT count(DISTINCT stratum) FROM held) * (SELECT count(*) FROM cutoffs)) GROUP BY ALL),
-bad AS (SELECT DISTINCT rid FROM r JOIN best USING (stratum) WHERE {rate} > c)
+stop AS (SELECT stratum, coalesce(min(CASE WHEN p > {error!r} / (SELECT count(DISTINCT stratum) FROM held) THEN j END), {len(LADDER)}) - 1 AS j FROM tail GROUP BY stratum),
+bad AS (SELECT DISTINCT rid FROM r JOIN stop USING (stratum) JOIN rungs USING (j) WHERE {any_over})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND rid NOT IN (SELECT rid FROM bad)) AS kept FROM r"""

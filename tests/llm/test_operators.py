@@ -276,8 +276,9 @@ def test_quality(spark):
         assert got[i]["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert got[i]["kept"] == (not got[i]["base_failed"])  # too few labels prove no cutoff
     assert quality.judge(docs.limit(0), labels).count() == 0 and quality.judge(docs, labels.limit(0)).count() == len(texts)
-    with pytest.raises(ValueError):
-        quality.keep_good(docs.drop("fp"), labels)
+    kept = quality.keep_good(docs.withColumnRenamed("fp", "stratum"), labels)  # clashing names, n_words among them
+    assert kept.columns == ["doc_id", "text", "lang", "stratum", "n_words"] and {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if x["kept"]} and {x["n_words"] for x in kept.collect()} == {1}
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
 
 
 def test_cutoffs_are_proven():
@@ -285,7 +286,42 @@ def test_cutoffs_are_proven():
     assert abs(quality.binomial_tail(10, 3, 0.5) - 176 / 1024) < 1e-12
 
 
-def test_cutoffs_by_stratum(spark):
-    rows = [("en", 5000, 10, False), ("de", 5000, 700, False)]
-    counts = spark.createDataFrame([(s, n, *([0 if s == "en" else k] * sum(map(len, quality.CUTOFFS.values())))) for s, n, k, _ in rows], ["stratum", "n", *(f"{s}_{c}" for s, cs in quality.CUTOFFS.items() for c in cs)])
-    assert quality.choose_cutoffs(counts) == {"en": {s: min(cs) for s, cs in quality.CUTOFFS.items()}}
+def test_rungs_are_tested_in_order(spark):
+    n = len(quality.LADDER)
+    assert all(x >= y for a, b in zip(quality.LADDER, quality.LADDER[1:]) for x, y in zip(a, b, strict=True))  # never looser
+    assert quality.last_proven(86, [0] * n, 0.05, 0.0125) == n - 1 and quality.last_proven(85, [0] * n, 0.05, 0.0125) is None
+    assert quality.last_proven(1000, [0, 10, 500, 10], 0.05, 0.0125) == 1  # what follows an unproven rung isn't looked at
+    rows = [("en", 500, *([0] * n)), ("de", 500, 0, *([100] * (n - 1))), ("fr", 20, *([0] * n))]
+    counts = spark.createDataFrame(rows, ["stratum", "n", *(f"r{j}" for j in range(n))])
+    assert quality.choose_cutoffs(counts) == {"en": quality.LADDER[-1], "de": quality.LADDER[0]}
+
+
+def test_promises_are_kept_in_simulation():
+    """Strata whose true rates of false rejection lie around the risk: the promise breaks in few of many holdouts."""
+    import numpy as np
+
+    r, risk, error, broken, trials = np.random.default_rng(5), 0.05, 0.05, 0, 4000
+    for _ in range(trials):
+        wrong = False
+        for rates in ([0.0, 0.01, 0.051, 0.06], [0.0501, 0.08, 0.1, 0.2], [0.02, 0.049, 0.0505, 0.3], [0.0, 0.0, 0.0, 0.0501]):
+            n = int(r.integers(60, 900))
+            cuts = np.sort(r.random(n))
+            at = quality.last_proven(n, [int((cuts < p).sum()) for p in rates], risk, error / 4)
+            wrong |= at is not None and rates[at] > risk
+        broken += wrong
+    assert broken <= trials * error + 3 * (trials * error) ** 0.5
+
+
+def test_a_proven_rung_decides(spark):
+    r = random.Random(9)
+    good, junk = [prose(r, 70) for _ in range(90)], [" ".join(f"{w}##" for w in prose(r, 70).split()) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + junk)] + [(200, junk[0], "de"), (201, junk[0], None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 90)) for i in range(95)], "doc_id long, quality int")
+    got = {x["doc_id"]: (x["base_failed"], x["kept"]) for x in quality.judge(docs, labels).collect()}
+    assert got == {i: (False, i < 90 or i >= 200) for i in [*range(95), 200, 201]}  # strata without labels keep what passes the base rules
+    assert {x["doc_id"] for x in quality.keep_good(docs, labels).collect()} == {i for i, v in got.items() if v[1]}
+    old, quality.MAX_BROADCAST_KEYS = quality.MAX_BROADCAST_KEYS, 5
+    try:
+        assert quality.keep_good(docs, labels).count() == 92
+    finally:
+        quality.MAX_BROADCAST_KEYS = old
