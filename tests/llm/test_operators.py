@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -255,6 +256,78 @@ def test_extraction(spark):
     assert len(got) == 3 and all(x["n_chars"] == len(x["text"]) for x in got) and extract.extract_pages(pages.limit(0)).count() == 0
 
 
+HOSTILE = ("notice article-body", "search", "promo", "related-story", "widget", "post has-sidebar", "menu")
+
+
+def made_page(r):
+    """A page with a known article: furniture around and inside it, comments of readers behind it, names that mislead."""
+    sentence = lambda: f"{prose(r, r.randrange(8, 20))}, {prose(r, r.randrange(3, 9))}."
+    para = lambda: " ".join(sentence() for _ in range(r.randrange(2, 5)))
+    links = lambda n: "".join(f'<li><a href="/{i}">{prose(r, 2)}</a></li>' for i in range(n))
+    body, want = [], [prose(r, 6)]
+    body.append(f"<h1>{want[0]}</h1>")
+    for _ in range(r.randrange(4, 12)):
+        t = para()
+        want.append(t)
+        body.append(r.choice([f"<p>{t}</p>", f"<p>{t}", f"<div><p>{t.replace(', ', ',&#32;', 1)}</p></div>", f"<p>\n {t.replace(' ', '  ', 3)}</p>"]))
+        if r.random() < 0.3:
+            body.append(r.choice([f'<div class="ad">{sentence()}</div>', f"<aside>{para()}</aside>", '<form action="/"><p>Your mail, please.</p><input name=m></form>', f'<ul class="share">{links(3)}</ul>', "<script>var a = '<p>x, y, z</p>';</script>", f'<p style="display: none">{para()}</p>', f'<div class="cookie-notice">{sentence()}</div>', "<!-- <p>gone, too</p> -->"]))
+    if r.random() < 0.4:  # every paragraph inside further boxes
+        body = [body[0], *(x if x.startswith(("<p>", "<div><p>")) is False or "</p>" not in x else f"<div><div>{x}</div></div>" for x in body[1:])]
+    name = r.choice(HOSTILE)
+    article = r.choice([f"<article>{''.join(body)}</article>", f'<div class="{name}">{"".join(body)}</div>', f'<div id="{name.split()[0]}">{"".join(body)}</div>', f"<main>{''.join(body)}</main>"])
+    comments = "".join(f'<li class="comment"><p>{sentence()}</p></li>' for _ in range(r.randrange(0, 40)))
+    page = f"""<html><head><title>{prose(r, 3)}</title><style>p{{}}</style></head><body class="has-sidebar no-comments"><nav><ul>{links(8)}</ul></nav><div class="breadcrumbs">{links(3)}</div>
+    <header>{sentence()}</header>{article}<div id="comments"><ol>{comments}</ol></div><div class="sidebar"><p>{para()}</p></div><footer>{sentence()}</footer></body></html>"""
+    return page, " ".join(want)
+
+
+def plain_main_text(nodes):
+    """The same scores from their definition, for a tree of extract.parse(): recursive, each node's points from all blocks below it."""
+    found = [(box, " ".join(t.split()), links) for box, t, links in extract.blocks(nodes[0]) if t.split()]
+    up = lambda n: [] if n is None else [n, *up(n.parent)]
+    points = [extract.points_of(t, k) * math.prod(extract_factor(n) for n in up(box)) for box, t, k in found]
+    inside = {id(n): [i for i, (box, _, _) in enumerate(found) if any(m is n for m in up(box))] for n in nodes}
+    for n in nodes:
+        at = inside[id(n)]
+        assert n.own == sum(len(found[i][1]) for i in at) and n.links == sum(found[i][2] for i in at)
+        assert n.mass == pytest.approx(sum(points[i] for i in at))
+        score = 0.0
+        for i in at:
+            box = found[i][0]
+            first = box.parent if box.tag in extract.PARAGRAPH and box.parent is not None else box
+            chain = [id(m) for m in up(first)]
+            if id(n) in chain:
+                score += points[i] / 2 ** chain.index(id(n))
+        assert n.score == pytest.approx(score)
+
+
+def extract_factor(n):
+    return n.weight / n.parent.weight if n.parent is not None else 1.0
+
+
+def test_extraction_of_known_articles():
+    r = random.Random(11)
+    for _ in range(150):
+        page, want = made_page(r)
+        nodes = extract.parse(page)
+        extract.score(nodes)
+        plain_main_text(nodes)
+        assert extract.main_text(page) == want
+
+
+def test_names_never_decide_alone():
+    text = " ".join(f"<p>Sentence {i} of it, with commas, and some length.</p>" for i in range(20))
+    plain = re.sub("<[^>]+>", "", text)
+    for name in HOSTILE:
+        assert extract.main_text(f'<body><div class="{name}">{text}</div></body>') == plain
+        got = extract.main_text(f'<body><div class="{name}">{text}</div><p>short one</p></body>')
+        assert got == plain or name in ("widget", "menu") and got == plain + " short one"
+    short = "<div id=x><p>A true article, short as it is, with commas, and so on.</p><p>Its second part, no longer, ends here.</p></div>"
+    assert extract.main_text(f"{short}<div class=comments>{text}</div>") == re.sub("<[^>]+>", "", short.replace("</p><p>", " "))
+    assert extract.main_text("<ul><li><a href=x>only</a></li><li><a href=y>links, here</a></li></ul>") == ""
+
+
 def plain_signals(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
