@@ -41,8 +41,8 @@ GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z+.-])(?:\(0?[0-9]{2,4}\)|0?[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+.@_/-])[0-9]{10,11}(?![0-9A-Za-z@_/-]|\.[0-9])"),
 )
-#: What no text without a candidate matches.
-LIKELY = r"[0-9]{3}[ ./_-][0-9]{2}|[0-9] ?\. ?[0-9]|[0-9]{10}|[\[( ]at[\]) ]|\)[ .-][0-9]{3}"
+#: What a text has that a generator can find anything in, one for each generator.
+LIKELY = (r"(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]++(?: ?[\[(] ?dot| dot |\.[A-Za-z0-9])", r"[0-9] ?\. ?[0-9]", r"[0-9]{4}[./_][0-9]{4}", r"[0-9)][ .-][0-9]{3}", r"[0-9]{10}")
 #: Words near a span that speak for its kind, and words right before it that speak against it.
 CONTEXT = {"email": "mail|contact|write|reach", "ip": "ip|host|addr|server|gateway|ping", "card": "card|visa|amex|payment|credit|debit|master", "phone": "phone|tel|call|fax|mobile|cell|whatsapp|ring|dial"}
 CONTRA = {"email": "see|visit|page|site", "ip": "section|chapter|version|release|item|clause|figure|step|rev", "card": "serial|code|isbn|order|track|batch|sku|ref", "phone": "model|part|total|sum|row|ref|order|serial|invoice|isbn|in|of"}
@@ -107,9 +107,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def with_base(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds _t (the text, its own mark characters replaced one for one) and _base: sorted base spans."""
+    """Adds _t (the text, its own mark characters replaced one for one), _d (whether it has a digit) and _base: sorted base spans."""
     df = df.withColumn("_t", F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x02", "\x06\x06"))
-    tests = {"email": F.instr("_t", "@") > 0, "ip": F.col("_t").rlike(r"[0-9]\.[0-9]"), "card": F.col("_t").rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.instr("_t", "+") > 0}
+    df = df.withColumn("_d", F.col("_t").rlike("[0-9]"))  # most texts have no digit, and need no other pattern
+    tests = {"email": F.instr("_t", "@") > 0, "ip": F.col("_d") & F.col("_t").rlike(r"[0-9]\.[0-9]"), "card": F.col("_d") & F.col("_t").rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.col("_d") & (F.instr("_t", "+") > 0)}
     for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True):
         df = df.withColumn(f"_p_{kind}", F.when(tests[kind], _marked(F.col("_t"), pattern)))
     for kind in KINDS:
@@ -137,7 +138,8 @@ def _apart(df: DataFrame) -> DataFrame:
 def with_candidates(df: DataFrame) -> DataFrame:
     """Adds _cand: proposals that touch no base span, with their features."""
     for i, (kind, pattern) in enumerate(GENERATORS):
-        df = df.withColumn(f"_g{i}", F.when(F.col("_t").rlike(LIKELY), _marked(F.col("_t"), pattern)))
+        able = F.lit(True) if kind == "email" else F.col("_d")
+        df = df.withColumn(f"_g{i}", F.when(able & F.col("_t").rlike(LIKELY[i]), _marked(F.col("_t"), pattern)))
     for i, (kind, _) in enumerate(GENERATORS):
         df = df.withColumn(f"_g{i}", F.when(F.size(f"_g{i}") > 1, _spans(f"_g{i}", kind)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)")))
     names = [f"_g{i}" for i in range(len(GENERATORS))]
@@ -302,11 +304,12 @@ def train(precision: float = PRECISION, error: float = ERROR, seed: int = SEED)
     return _models[key]
 
 
-def _score(trees: list, c: Column) -> Column:
-    def of(t) -> Column:
-        return F.lit(float(t)) if not isinstance(t, tuple) else F.when(c[FEATURES[t[0]]] <= t[1], of(t[2])).otherwise(of(t[3]))
+def _chosen(model: dict[int, tuple[list, float]]) -> str:
+    """SQL text, one parse for all trees: whether the candidate c reaches its kind's threshold."""
+    def of(t) -> str:
+        return f"{t!r}D" if not isinstance(t, tuple) else f"if(c.{FEATURES[t[0]]} <= {t[1]!r}D, {of(t[2])}, {of(t[3])})"
 
-    return reduce(lambda a, b: a + b, map(of, trees))
+    return "CASE c.rank " + " ".join(f"WHEN {k} THEN {' + '.join(map(of, trees))} >= {cut!r}D" for k, (trees, cut) in model.items()) + " ELSE false END"
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -314,11 +317,8 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     model = train()
     df = with_candidates(with_base(docs, text_col))
 
-    def chosen(c: Column) -> Column:
-        return reduce(lambda a, k: F.when(c["rank"] == k, _score(model[k][0], c) >= model[k][1]).otherwise(a), model, F.lit(False))
-
     plain = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rank"].alias("rank"))
-    df = df.withColumn("_cand", F.array_sort(F.transform(F.filter("_cand", chosen), plain)))
+    df = df.withColumn("_cand", F.array_sort(F.transform(F.expr(f"filter(_cand, c -> {_chosen(model)})"), plain)))
     # a span stays if it begins behind the last one kept
     first = collect(F.col("_cand"), _PLAIN, [F.lit(0).alias("at")], lambda acc, c: ({"at": F.when(c["start"] >= acc["at"], c["end"]).otherwise(acc["at"])}, c["start"] >= acc["at"], c))
     return df.withColumn("_base", F.transform("_base", plain)).withColumn("_all", F.array_sort(F.concat("_base", F.when(F.size("_cand") > 1, first).otherwise(F.col("_cand"))))).drop("_cand")
