@@ -50,9 +50,19 @@ def is_weekend(ts: Column | str) -> Column:
     return F.weekday(ts) >= 5
 
 
+def months_before(ts: Column, months: int) -> Column:
+    """The same time so many months earlier; the last day of the month if that one has no such day."""
+    return ts - F.make_ym_interval(F.lit(0), F.lit(months))
+
+
 def in_trailing(ts: Column, as_of: Column, months: int) -> Column:
     """Whether ts is in (as_of - months, as_of]."""
-    return (ts > as_of - F.make_ym_interval(F.lit(0), F.lit(months))) & (ts <= as_of)
+    return (ts > months_before(as_of, months)) & (ts <= as_of)
+
+
+def time_part(ts: Column, start: Column, holdout: Column, stop: Column) -> Column:
+    """train in [start, holdout), holdout in [holdout, stop), else NULL."""
+    return F.when((ts >= start) & (ts < holdout), "train").when((ts >= holdout) & (ts < stop), "holdout")
 
 
 @pandas_udf(BinaryType())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from segrank.config import FACTORS, MIN_LENGTH_FT, ROAD_ATTRIBUTES, TRAILING_MONTHS
 from segrank.functions.guards import FeatureError, require_columns
-from segrank.functions.scalars import in_trailing, is_night, is_weekend, number, share, slug
+from segrank.functions.scalars import in_trailing, is_night, is_weekend, months_before, number, share, slug
 
 
 def exposure(units: DataFrame, length: str = "length_ft", legs: str = "leg_count", minimum: float = MIN_LENGTH_FT) -> DataFrame:
@@ -47,19 +47,23 @@ def impute_road_attributes(units: DataFrame, columns=ROAD_ATTRIBUTES, group: str
     return out.withColumns({c: F.coalesce(c, f"_m_{c}", F.lit(whole[c])) for c in columns}).drop(*(f"_m_{c}" for c in columns))
 
 
-def trailing(events: DataFrame, as_of: Column, months=TRAILING_MONTHS, value: str = "pedestrian_casualties", ts: str = "crash_date", unit: str = "unit_id") -> DataFrame:
-    """unit, casualties_{m}mo and crashes_{m}mo for all windows (as_of - m months, as_of] in one aggregate."""
-    longest = events.where(in_trailing(F.col(ts), as_of, max(months)))
-    aggs = []
+def trailing(events: DataFrame, as_of: Column, months=TRAILING_MONTHS, value: str = "pedestrian_casualties", ts: str = "crash_date", unit: str = "unit_id", holdout: tuple[Column, Column] | None = None) -> DataFrame:
+    """unit, casualties_{m}mo and crashes_{m}mo for all windows (as_of - m months, as_of], and with ``holdout`` the casualties in [start, end), in one aggregate."""
+    wanted, aggs = in_trailing(F.col(ts), as_of, max(months)), []
+    summed = lambda where: F.coalesce(F.sum(F.when(where, F.col(value))), F.lit(0)).cast("bigint")
     for m in months:
         inside = in_trailing(F.col(ts), as_of, m)
-        aggs += [F.coalesce(F.sum(F.when(inside, F.col(value))), F.lit(0)).cast("bigint").alias(f"casualties_{m}mo"), F.count_if(inside).alias(f"crashes_{m}mo")]
-    return longest.groupBy(unit).agg(*aggs)
+        aggs += [summed(inside).alias(f"casualties_{m}mo"), F.count_if(inside).alias(f"crashes_{m}mo")]
+    if holdout:
+        later = (F.col(ts) >= holdout[0]) & (F.col(ts) < holdout[1])
+        wanted = wanted | later
+        aggs.append(summed(later).alias("holdout_casualties"))
+    return events.where(wanted).groupBy(unit).agg(*aggs)
 
 
 def truncated_windows(events: DataFrame, as_of: Column, months=TRAILING_MONTHS, ts: str = "crash_date") -> tuple[int, ...]:
     """Windows that begin before the first event."""
-    row = events.agg(F.min(ts).alias("t")).select(*((F.col("t") > as_of - F.make_ym_interval(F.lit(0), F.lit(m))).alias(str(m)) for m in months)).first()
+    row = events.agg(F.min(ts).alias("t")).select(*((F.col("t") > months_before(as_of, m)).alias(str(m)) for m in months)).first()
     return tuple(m for m in months if row[str(m)])
 
 

@@ -11,10 +11,6 @@ from segrank.config import BOOTSTRAP_ITERATIONS, BOOTSTRAP_LEVEL, BOOTSTRAP_SEED
 from segrank.functions.guards import BacktestError, require_columns, require_unique
 from segrank.functions.scalars import share
 
-#: Units that the bit-exact bootstrap may bring to the driver; more take the distributed one.
-MAX_COLLECTED = 2_000_000
-
-
 @dataclass(frozen=True)
 class Capture:
     captured: int
@@ -77,26 +73,49 @@ def _interval(point: float, draws: np.ndarray, asked: int, level: float, mode: s
     return Interval(point, float(low), float(high), asked, lost, mode)
 
 
-def bootstrap_difference(units: DataFrame, a: DataFrame, b: DataFrame, casualties: str = "holdout_casualties", iterations: int = BOOTSTRAP_ITERATIONS, level: float = BOOTSTRAP_LEVEL, seed: int = BOOTSTRAP_SEED, max_units: int = MAX_COLLECTED) -> Interval:
-    """Difference of capture rates a - b in percent points, units resampled with replacement, in the order of unit_id.
+def outcome_classes(marked: DataFrame, a: str = "_a", b: str = "_b", casualties: str = "holdout_casualties") -> DataFrame:
+    """v, d, n: units by casualties and membership by two flags (a minus b: 1, 0 or -1). As many rows as casualties have values, times three."""
+    return marked.groupBy(F.coalesce(F.col(casualties).cast("double"), F.lit(0.0)).alias("v"), (F.col(a).cast("int") - F.col(b).cast("int")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_interval(classes: DataFrame, iterations: int = BOOTSTRAP_ITERATIONS, level: float = BOOTSTRAP_LEVEL, seed: int = BOOTSTRAP_SEED) -> Interval:
+    """The bootstrap over outcome classes, which alone come to the driver."""
+    rows = sorted(tuple(r) for r in classes.collect())
+    v, d, n = (np.array(c, float) for c in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 3
+    if not (n * v).sum():
+        raise BacktestError("there are no casualties to capture")
+    drawn = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), size=iterations)
+    whole, diff = drawn @ v, drawn @ (v * d)
+    return _interval(float(100 * (n * v * d).sum() / (n * v).sum()), 100 * diff[whole > 0] / whole[whole > 0], iterations, level, "multinomial")
+
 
-    Three narrow columns come to the driver if there are ``max_units`` units at most; more take poisson_bootstrap().
+def bootstrap_difference(units: DataFrame, a: DataFrame, b: DataFrame, casualties: str = "holdout_casualties", iterations: int = BOOTSTRAP_ITERATIONS, level: float = BOOTSTRAP_LEVEL, seed: int = BOOTSTRAP_SEED) -> Interval:
+    """Difference of capture rates a - b in percent points, units resampled with replacement.
+
+    A resample of units is, for the rates, a multinomial draw of how many of each outcome class it has, which is what
+    is drawn: the same law at every size. bootstrap_gather() is the form that draws units one by one.
+    """
+    both = flagged(flagged(units.select("unit_id", casualties), a, "_a"), b, "_b")
+    return class_interval(outcome_classes(both, casualties=casualties), iterations, level, seed)
+
+
+def bootstrap_gather(units: DataFrame, a: DataFrame, b: DataFrame, casualties: str = "holdout_casualties", iterations: int = BOOTSTRAP_ITERATIONS, level: float = BOOTSTRAP_LEVEL, seed: int = BOOTSTRAP_SEED) -> Interval:
+    """The same, bit for bit as numpy draws units in the order of unit_id, for comparison with runs that did so.
+
+    Three narrow columns of all units come to the driver; no plan calls it.
     """
     both = flagged(flagged(units.select("unit_id", casualties), a, "_a"), b, "_b")
-    n, total = both.agg(F.count(F.lit(1)), F.sum(casualties)).first()
-    if not total:
-        raise BacktestError("there are no casualties to capture")
-    if n > max_units:
-        return poisson_interval(both, casualties, iterations, level)
     pdf = both.select("unit_id", F.col(casualties).cast("double").alias("v"), "_a", "_b").orderBy("unit_id").toPandas()
-    v = pdf["v"].to_numpy()
+    n, v = len(pdf), pdf["v"].to_numpy()
+    if not v.sum():
+        raise BacktestError("there are no casualties to capture")
     d = v * (pdf["_a"].to_numpy().astype(float) - pdf["_b"].to_numpy().astype(float))
     rng, out = np.random.default_rng(seed), []
     for _ in range(iterations):
         m = np.bincount(rng.integers(0, n, size=n), minlength=n)
         if (whole := m @ v) > 0:
             out.append(100 * (m @ d) / whole)
-    return _interval(float(100 * d.sum() / v.sum()), np.array(out), iterations, level, "multinomial")
+    return _interval(float(100 * d.sum() / v.sum()), np.array(out), iterations, level, "gathered")
 
 
 #: Cumulative Poisson(1) probabilities, from the rule e^-1 / k!
@@ -120,11 +139,20 @@ def poisson_draws(both: DataFrame, casualties: str, iterations: int) -> DataFram
     return rows.groupBy("draw").agg(F.sum(F.col("_k") * F.col("_v")).cast("bigint").alias("whole"), F.sum(F.col("_k") * F.col("_v") * F.col("_d")).cast("bigint").alias("diff"))
 
 
-def poisson_interval(both: DataFrame, casualties: str, iterations: int = BOOTSTRAP_ITERATIONS, level: float = BOOTSTRAP_LEVEL) -> Interval:
-    """The distributed bootstrap; a row for each draw comes to the driver."""
+def percentile_bounds(df: DataFrame, column: str, level: float = BOOTSTRAP_LEVEL) -> DataFrame:
+    """One row: low and high, the exact percentiles around the middle ``level`` of a column."""
+    return df.agg(F.percentile(column, (1 - level) / 2).alias("low"), F.percentile(column, (1 + level) / 2).alias("high"))
+
+
+def poisson_interval(both: DataFrame, casualties: str, iterations: int, level: float = BOOTSTRAP_LEVEL) -> Interval:
+    """The bootstrap by Poisson weights of MD5, which SQL repeats exactly; one row comes to the driver."""
     v, d = both.agg(F.sum(casualties), F.sum(F.col(casualties) * (F.col("_a").cast("int") - F.col("_b").cast("int")))).first()
-    rows = poisson_draws(both, casualties, iterations).where("whole > 0").collect()
-    return _interval(100.0 * d / v, np.array([100.0 * r["diff"] / r["whole"] for r in rows]), iterations, level, "Poisson")
+    draws = poisson_draws(both, casualties, iterations).where("whole > 0").withColumn("_r", 100.0 * F.col("diff") / F.col("whole"))
+    n = draws.count()
+    if iterations - n > MAX_DEGENERATE_SHARE * iterations:
+        raise BacktestError(f"{iterations - n} of {iterations} resamples have no casualties")
+    low, high = percentile_bounds(draws, "_r", level).first()
+    return Interval(100.0 * d / v, low, high, iterations, iterations - n, "Poisson")
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from segrank.config import BOROUGH_CODES, CRS_PROJECTED, MIN_LENGTH_FT, ROAD_ATTRIBUTES
@@ -17,31 +17,49 @@ def borough_names(df: DataFrame, code: str = "boroughcode", out: str = "borough"
     return df.withColumn(out, F.try_element_at(names, F.trim(F.col(code).cast("string"))))
 
 
+def is_highway(rw_type: str = "rw_type"):
+    """1 for all but plain streets; a NULL road type counts as a highway."""
+    return (F.coalesce(F.trim(rw_type), F.lit("")) != "1").cast("int")
+
+
+def is_degenerate(length: str = "length_ft", minimum: float = MIN_LENGTH_FT):
+    """Whether a piece is shorter than the least length, or has none."""
+    return F.coalesce(F.col(length) < minimum, F.lit(True))
+
+
 def segments(lines: DataFrame, parts: str = "parts", order: str = "row_no", min_length: float = MIN_LENGTH_FT) -> DataFrame:
     """One row for each part of each line: unit_id C0, C1, ... in the order of ``order`` and part, with length and flags.
 
-    ``order`` is a stable number of the source row. A NULL road type counts as a highway; degenerate pieces are kept and flagged.
+    ``order`` is a stable whole number of the source row. Degenerate pieces are kept and flagged.
     """
     rows = lines.where(F.size(parts) > 0).select("*", F.posexplode(parts).alias("_part", "path")).where(F.size("path") > 0).drop(parts)
-    rows = rows.withColumn("ordinal", _ordinal(rows, order, "_part")).withColumn("unit_id", F.concat(F.lit("C"), "ordinal")).drop("_part")
+    rows = numbered(rows, [], order, [order, "_part"], "ordinal").withColumn("unit_id", F.concat(F.lit("C"), "ordinal")).drop("_part")
     rows = rows.withColumn("unit_type", F.lit("corridor")).withColumn("length_ft", path_length("path"))
     rows = rows.withColumns({c: number(c) for c in ROAD_ATTRIBUTES if c in rows.columns})
     if "rw_type" in rows.columns:
-        rows = rows.withColumn("is_highway", (F.coalesce(F.trim("rw_type"), F.lit("")) != "1").cast("int"))
-    return rows.withColumn("degenerate_length", F.coalesce(F.col("length_ft") < min_length, F.lit(True)))
+        rows = rows.withColumn("is_highway", is_highway())
+    return rows.withColumn("degenerate_length", is_degenerate("length_ft", min_length))
+
 
+#: Buckets of numbered() for each thousand rows of key, and at most for each leading value.
+BUCKET_KEYS, MOST_BUCKETS = 1000, 10_000
 
-def _ordinal(rows: DataFrame, order: str, part: str):
-    """0, 1, ... by (order, part) without one task for all: rows are counted by block of a thousand source rows first."""
-    size = rows.groupBy(F.expr(f"{order} div 1000").alias("_b")).agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect()
-    before, total = [], 0
-    for r in size:
-        before += [F.lit(r["_b"]), F.lit(total)]
-        total += r["n"]
-    if not before:
-        return F.lit(0).cast("bigint")
-    inside = F.row_number().over(Window.partitionBy(F.expr(f"{order} div 1000")).orderBy(order, part)) - 1
-    return (F.create_map(*before)[F.expr(f"{order} div 1000")] + inside).cast("bigint")
+
+def numbered(rows: DataFrame, lead: list[Column], key: str, order: list[str], out: str) -> DataFrame:
+    """Adds 0, 1, ... by ``lead``, then ``order``, whose first column is the whole number ``key``, without one task for all.
+
+    Rows are counted by bucket (lead, key div width) first; the table of buckets, of bounded size, is joined with the
+    number of rows before each, and only rows of one bucket are sorted together.
+    """
+    top = rows.agg(F.max(key)).first()[0] or 0
+    width = max(BUCKET_KEYS, -(-int(top) // MOST_BUCKETS))
+    rows = rows.withColumns({f"_l{i}": c for i, c in enumerate(lead)} | {"_b": F.expr(f"`{key}` div {width}")})
+    names = [*(f"_l{i}" for i in range(len(lead))), "_b"]
+    sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select(*names, before.alias("_before"))), names)
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1
+    return rows.withColumn(out, (F.col("_before") + place).cast("bigint")).drop(*names, "_before")
 
 
 def endpoints(segs: DataFrame, path: str = "path") -> DataFrame:
@@ -63,16 +81,15 @@ def junctions(segs: DataFrame) -> DataFrame:
         if c in have:
             aggs.append(agg.alias(c))
     nodes = ends.where("gx is not null and gy is not null").groupBy("gx", "gy").agg(*aggs).where("leg_count >= 2")
-    legs = nodes.groupBy("leg_count").count().orderBy(F.desc("leg_count")).collect()  # as many rows as there are leg counts
-    if not legs:
-        return nodes.withColumn("unit_id", F.lit(None).cast("string")).withColumn("unit_type", F.lit("intersection")).withColumn("path", F.lit(None).cast("array<struct<x:double,y:double>>")).drop("_first", "gx", "gy")
-    before, total = [], 0
-    for r in legs:
-        before += [F.lit(r[0]), F.lit(total)]
-        total += r[1]
-    number_ = F.create_map(*before)[F.col("leg_count")] + F.row_number().over(Window.partitionBy("leg_count").orderBy("_first")) - 1
+    nodes = nodes.withColumn("_key", 2 * F.col("_first.ordinal") + F.col("_first.side"))
+    nodes = numbered(nodes, [-F.col("leg_count")], "_key", ["_key"], "_no")
     point = F.array(F.struct(F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y")))
-    return nodes.withColumn("unit_id", F.concat(F.lit("I"), number_)).withColumn("unit_type", F.lit("intersection")).withColumn("path", point).drop("_first", "gx", "gy")
+    return nodes.withColumn("unit_id", F.concat(F.lit("I"), "_no")).withColumn("unit_type", F.lit("intersection")).withColumn("path", point).drop("_first", "_key", "_no", "gx", "gy")
+
+
+def union_units(segs: DataFrame) -> DataFrame:
+    """Segments and the junctions where they meet, in one frame."""
+    return segs.unionByName(junctions(segs), allowMissingColumns=True)
 
 
 def build_universe(lines: DataFrame, parts: str = "parts", order: str = "row_no") -> DataFrame:
@@ -81,7 +98,7 @@ def build_universe(lines: DataFrame, parts: str = "parts", order: str = "row_no"
     segs = segments(lines, parts, order)
     if segs.limit(1).count() == 0:
         raise SpatialJoinError("no segment has an endpoint")
-    out = segs.unionByName(junctions(segs), allowMissingColumns=True)
+    out = union_units(segs)
     keep = ["unit_id", "unit_type", "path", "length_ft", "degenerate_length", "borough", "full_street_name", "rw_type", *ROAD_ATTRIBUTES, "is_highway", "leg_count"]
     out = out.select(*(c for c in keep if c in out.columns))
     require_unique(out, "unit_id", SpatialJoinError)

@@ -85,15 +85,18 @@ def rederive(frame: DataFrame, summary: dict, iterations: int = 10_000) -> list[
 
 
 def _interval(spark: SparkSession, picks: dict[str, str], iterations: int, seed: int) -> tuple[float, float]:
-    """The gather form of the bootstrap: three narrow columns on the driver."""
-    rows = spark.sql(f"SELECT u.unit_id, holdout_casualties AS v, a.unit_id IS NOT NULL AS a, b.unit_id IS NOT NULL AS b FROM audit_units u LEFT JOIN (SELECT unit_id FROM ({picks['r3']})) a ON u.unit_id = a.unit_id LEFT JOIN (SELECT unit_id FROM ({picks['r2']})) b ON u.unit_id = b.unit_id ORDER BY u.unit_id").toPandas()
-    v, a, b = rows["v"].to_numpy(float), rows["a"].to_numpy(bool), rows["b"].to_numpy(bool)
+    """The bootstrap, draw by draw over counts of units that are alike in casualties and membership; no unit comes to the driver."""
+    rows = spark.sql(f"""SELECT v, d, count(*) AS n FROM (SELECT coalesce(cast(u.holdout_casualties AS DOUBLE), 0D) AS v, if(a.unit_id IS NULL, 0, 1) - if(b.unit_id IS NULL, 0, 1) AS d
+      FROM audit_units u LEFT JOIN (SELECT unit_id FROM ({picks['r3']})) a ON u.unit_id = a.unit_id LEFT JOIN (SELECT unit_id FROM ({picks['r2']})) b ON u.unit_id = b.unit_id) GROUP BY v, d ORDER BY v, d""").collect()
+    counts = np.array([r["n"] for r in rows])
     rng, out = np.random.default_rng(seed), []
     for _ in range(iterations):
-        take = rng.integers(0, len(v), size=len(v))
-        whole = v[take].sum()
+        whole = diff = 0.0
+        for k, r in zip(rng.multinomial(counts.sum(), counts / counts.sum()).tolist(), rows, strict=True):
+            whole += k * r["v"]
+            diff += k * r["v"] * r["d"]
         if whole > 0:
-            out.append(100 * (v[take][a[take]].sum() - v[take][b[take]].sum()) / whole)
+            out.append(100 * diff / whole)
     return tuple(float(x) for x in np.percentile(out, [2.5, 97.5]))
 
 

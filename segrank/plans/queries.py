@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from segrank.config import BOOTSTRAP_ITERATIONS, PREDICTORS, ROAD_ATTRIBUTES, Radii, ZERO_BUDGETS, ZERO_DRAWS
 from segrank.functions import scalars as fn
 from segrank.functions.guards import duplicate_keys
 from segrank.operators import events as ev
@@ -19,6 +20,8 @@ from segrank.operators import model as md
 from segrank.operators import rank as rk
 from segrank.operators import score as sc
 from segrank.operators import universe as un
+from segrank.sources.sinks import scored_frame
+from segrank.sources.work import stored
 
 AS_OF, HOLD_END = "2000-01-01 00:00:00", "2002-01-01 00:00:00"
 K = {"corridor": 0.8, "intersection": 1.3}
@@ -34,6 +37,8 @@ UNITS = {
     "length_ft": "CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size <= 2 THEN CAST(0.0 AS DOUBLE) ELSE p_retailprice END END",
     "leg_count": "CASE WHEN p_partkey % 2 = 1 THEN CAST((p_size % 4) + 2 AS BIGINT) END",
     "posted_speed": "nullif(p_size, 7)",
+    "number_travel_lanes": "nullif(p_partkey % 5 + 1, 3)",
+    "streetwidth": "CAST(nullif(p_partkey % 23 + 20, 31) AS DOUBLE)",
     "rw_type": "CASE p_size % 3 WHEN 0 THEN '1' WHEN 1 THEN ' 2' END",
     "is_priority": "p_size >= 40",
     "p_name": "p_name",
@@ -78,8 +83,7 @@ def treated(spark: SparkSession, d: str) -> DataFrame:
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Units with their trailing windows and the holdout's casualties."""
     e = events(spark, d)
-    out = ft.fill_join(units(spark, d), ft.trailing(e, _ntz(AS_OF)))
-    return ft.fill_join(out, ft.between_sum(e, _ntz(AS_OF), _ntz(HOLD_END), "holdout_casualties"))
+    return ft.fill_join(units(spark, d), ft.trailing(e, _ntz(AS_OF), holdout=(_ntz(AS_OF), _ntz(HOLD_END))))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +124,7 @@ s AS (SELECT *, md5(unit_id) AS tie, round(CASE WHEN spf_prediction IS NULL THEN
 n AS (SELECT count(*) AS n FROM s WHERE is_priority)"""
 TREATED = f"tr AS (SELECT {UNIT_ID.format('l_partkey')} AS unit_id, min(o_orderdate) AS treatment_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"
 XY = "v AS (SELECT vec_id, embedding[1]::DOUBLE * 4000 AS x, embedding[2]::DOUBLE * 4000 AS y FROM embeddings)"
+ALL_LINES = "l AS (SELECT concat('C', lpad(a.vec_id::VARCHAR, 9, '0')) AS unit_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)"
 LINE = "l AS (SELECT concat('C', lpad(a.vec_id::VARCHAR, 9, '0')) AS unit_id, a.vec_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), nd AS (SELECT concat('I', lpad(vec_id::VARCHAR, 9, '0')) AS unit_id, vec_id, x, y FROM v WHERE vec_id % 2 = 1)"
 
 
@@ -144,9 +149,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH {CTE} SELECT unit_id, unit_type, borough, casualties_36mo, holdout_casualties, round(spf_prediction, 6) AS spf_prediction, round(eb_estimate, 6) AS eb_estimate, is_priority FROM s")
+@query(f"WITH {CTE}, {TREATED} SELECT unit_id, unit_type, borough, casualties_36mo, holdout_casualties, round(spf_prediction, 6) AS spf_prediction, round(eb_estimate, 6) AS eb_estimate, is_priority, treatment_date IS NOT NULL AS treated, treatment_date FROM s LEFT JOIN tr USING (unit_id)")
 def a14_scored_projection(spark, d):
-    return scored(spark, d).select("unit_id", "unit_type", "borough", "casualties_36mo", "holdout_casualties", F.round("spf_prediction", 6).alias("spf_prediction"), F.round("eb_estimate", 6).alias("eb_estimate"), "is_priority")
+    full = scored(spark, d).join(treated(spark, d).select("unit_id", "treated", "treatment_date"), "unit_id")
+    return scored_frame(full).withColumns({c: F.round(c, 6) for c in ("spf_prediction", "eb_estimate")})
 
 
 @query("SELECT CASE o_custkey % 7 WHEN 0 THEN 'MANHATTAN' WHEN 1 THEN 'MANHATTAN' WHEN 2 THEN 'BRONX' WHEN 3 THEN 'BROOKLYN' WHEN 4 THEN 'QUEENS' WHEN 5 THEN 'STATEN ISLAND' END AS borough, count(*)::BIGINT AS n FROM orders GROUP BY 1")
@@ -168,17 +174,18 @@ def b2_drop_reasons(spark, d):
 
 @query(f"WITH {CTE} SELECT unit_id, CASE WHEN coalesce(trim(rw_type), '') <> '1' THEN 1 ELSE 0 END AS is_highway FROM u")
 def b6_flag_null_safe(spark, d):
-    return units(spark, d).select("unit_id", (F.coalesce(F.trim("rw_type"), F.lit("")) != "1").cast("int").alias("is_highway"))
+    return units(spark, d).select("unit_id", un.is_highway().alias("is_highway"))
 
 
-@query(f"WITH {CTE} SELECT unit_id, length_ft < 1 AS degenerate_length FROM u WHERE unit_type = 'corridor'")
+@query(f"WITH {CTE} SELECT unit_id, coalesce(length_ft < 1, true) AS degenerate_length FROM u WHERE unit_type = 'corridor'")
 def b7_degenerate(spark, d):
-    return units(spark, d).where(F.col("unit_type").isin("corridor")).select("unit_id", (F.col("length_ft") < 1).alias("degenerate_length"))
+    return units(spark, d).where(F.col("unit_type").isin("corridor")).select("unit_id", un.is_degenerate().alias("degenerate_length"))
 
 
 @query(f"WITH {CTE} SELECT CASE WHEN crash_date < {_stamp(AS_OF)} THEN 'train' ELSE 'holdout' END AS part, count(*)::BIGINT AS n, sum(pedestrian_casualties)::BIGINT AS casualties FROM e WHERE crash_date < {_stamp(HOLD_END)} GROUP BY 1")
 def b8_time_split(spark, d):
-    return events(spark, d).where(F.col("crash_date") < _ntz(HOLD_END)).groupBy(F.when(F.col("crash_date") < _ntz(AS_OF), "train").otherwise("holdout").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("pedestrian_casualties").alias("casualties"))
+    part = fn.time_part(F.col("crash_date"), _ntz("1900-01-01 00:00:00"), _ntz(AS_OF), _ntz(HOLD_END))
+    return events(spark, d).where(part.isNotNull()).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("pedestrian_casualties").alias("casualties"))
 
 
 @query(f"WITH {CTE} SELECT unit_id, casualties_36mo = 0 AS zero_history, casualties_36mo FROM h WHERE casualties_36mo = 0")
@@ -190,7 +197,7 @@ def b10_zero_history(spark, d):
 
 @query(f"WITH {CTE} SELECT coalesce(borough, '') AS borough, count(*)::BIGINT AS n, count(CASE WHEN borough IS NULL THEN 1 END)::BIGINT AS excluded FROM u GROUP BY 1")
 def b11_null_stratum(spark, d):
-    return units(spark, d).groupBy(F.coalesce("borough", F.lit("")).alias("borough")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("borough").isNull()).alias("excluded"))
+    return rk.stratum_counts(units(spark, d))
 
 
 @query("SELECT user_id, round(avg(CASE WHEN hour(ts) >= 18 OR hour(ts) < 6 THEN 1.0 ELSE 0.0 END), 6) AS night_share, round(avg(CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END), 6) AS weekend_share FROM events GROUP BY user_id")
@@ -216,8 +223,6 @@ def _universe(spark, d):
 
 
 def _assigned(spark, d):
-    from segrank.config import Radii
-
     ps = points(spark, d).select(F.col("vec_id").alias("crash_id"), (F.col("x") + 30).alias("x"), (F.col("y") - 20).alias("y"))
     return ps, ev.assign(ps, _universe(spark, d), "crash_id", Radii(25.0, 37.0))
 
@@ -235,22 +240,22 @@ def c3_unassigned_anti(spark, d):
 
 _CROSS = "((l.bx-l.ax)*(k.ay-l.ay)-(l.by_-l.ay)*(k.ax-l.ax))*((l.bx-l.ax)*(k.by_-l.ay)-(l.by_-l.ay)*(k.bx-l.ax)) < 0 AND ((k.bx-k.ax)*(l.ay-k.ay)-(k.by_-k.ay)*(l.ax-k.ax))*((k.bx-k.ax)*(l.by_-k.ay)-(k.by_-k.ay)*(l.bx-k.ax)) < 0"
 _LL = f"least({_ps('l.ax', 'l.ay', 'k.ax', 'k.ay', 'k.bx', 'k.by_')}, {_ps('l.bx', 'l.by_', 'k.ax', 'k.ay', 'k.bx', 'k.by_')}, {_ps('k.ax', 'k.ay', 'l.ax', 'l.ay', 'l.bx', 'l.by_')}, {_ps('k.bx', 'k.by_', 'l.ax', 'l.ay', 'l.bx', 'l.by_')})"
-_LABEL = f"""{XY}, {LINE}, k AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 7),
+_LABEL = f"""{XY}, {LINE}, k AS (SELECT a.vec_id, a.x + 900 AS ax, a.y + 700 AS ay, b.x + 900 AS bx, b.y + 700 AS by_ FROM v a JOIN v b ON b.vec_id = a.vec_id + 1), q AS (SELECT vec_id, x + 23 AS x, y + 41 AS y FROM v),
 lk AS (SELECT l.unit_id, k.vec_id FROM l, k WHERE ({_CROSS}) OR {_LL} <= 10), nk AS (SELECT nd.unit_id, k.vec_id FROM nd, k WHERE {_ps('nd.x', 'nd.y', 'k.ax', 'k.ay', 'k.bx', 'k.by_')} <= 10),
-np AS (SELECT nd.unit_id, q.vec_id FROM nd, v q WHERE q.vec_id % 15 = 4 AND sqrt(pow(nd.x-q.x,2)+pow(nd.y-q.y,2)) <= 10 * 20)"""
+np AS (SELECT nd.unit_id, q.vec_id FROM nd, q WHERE sqrt(pow(nd.x-q.x,2)+pow(nd.y-q.y,2)) <= 10)"""
 
 
-@query(f"""WITH {_LABEL}, f AS (SELECT unit_id, 'corridor' AS y FROM lk UNION SELECT unit_id, 'corridor' FROM nk UNION SELECT unit_id, 'intersection' FROM (SELECT nd.unit_id FROM nd, v q WHERE q.vec_id % 15 = 4 AND sqrt(pow(nd.x-q.x,2)+pow(nd.y-q.y,2)) <= 10)),
+@query(f"""WITH {_LABEL}, f AS (SELECT unit_id, 'corridor' AS y FROM lk UNION SELECT unit_id, 'corridor' FROM nk UNION SELECT unit_id, 'intersection' FROM np),
 uu AS (SELECT unit_id FROM l UNION ALL SELECT unit_id FROM nd)
 SELECT unit_id, string_agg(y, '+' ORDER BY y) AS vzv_source, count(y) > 0 AS is_priority FROM uu LEFT JOIN f USING (unit_id) GROUP BY unit_id""")
 def c4_buffer_labels(spark, d):
-    corridors = _odd_lines(spark, d)
-    pts = points(spark, d).where("vec_id % 15 = 4").select(F.col("vec_id").alias("feature_id"), F.array(F.struct("x", "y")).alias("path"))
-    return labels.priority_labels(_universe(spark, d), corridors, pts, 10.0)[0].select("unit_id", "vzv_source", "is_priority")
+    return labels.priority_labels(_universe(spark, d), *_features(spark, d), 10.0)[0].select("unit_id", "vzv_source", "is_priority")
 
 
-def _odd_lines(spark, d):
-    return lines(spark, d, 1).where("vec_id % 20 = 7").select(F.col("vec_id").alias("feature_id"), "path")
+def _features(spark, d):
+    """Every segment and every point as a feature, moved aside so that none is a unit itself."""
+    moved = F.transform("path", lambda p: F.struct((p["x"] + 900).alias("x"), (p["y"] + 700).alias("y")))
+    return lines(spark, d, 1).select(F.col("vec_id").alias("feature_id"), moved.alias("path")), points(spark, d).select(F.col("vec_id").alias("feature_id"), F.array(F.struct((F.col("x") + 23).alias("x"), (F.col("y") + 41).alias("y"))).alias("path"))
 
 
 @query(f"""WITH {_LABEL}, f AS (SELECT unit_id, vec_id FROM lk UNION ALL SELECT unit_id, vec_id FROM nk), uu AS (SELECT unit_id FROM l UNION ALL SELECT unit_id FROM nd),
@@ -258,7 +263,7 @@ g AS (SELECT unit_id, min(timestamp '2019-01-01' + to_days((vec_id * 37 % 1000):
 SELECT unit_id, treatment_date, treatment_date IS NOT NULL AS treated FROM uu LEFT JOIN g USING (unit_id)""")
 def c5_earliest_treatment(spark, d):
     day = F.when(F.col("feature_id") % 3 != 0, F.date_add(F.lit("2019-01-01").cast("date"), (F.col("feature_id") * 37 % 1000).cast("int")).cast("string"))
-    out, _ = labels.treatments(_universe(spark, d), [_odd_lines(spark, d).withColumn("completion_date", day)], 10.0)
+    out, _ = labels.treatments(_universe(spark, d), [_features(spark, d)[0].withColumn("completion_date", day)], 10.0)
     return out.select("unit_id", "treatment_date", "treated")
 
 
@@ -286,9 +291,9 @@ def d1_trailing_counts(spark, d):
 
 @query("SELECT m::INTEGER AS months, min(ts) > timestamp '2024-01-30' - to_months(m::INTEGER) AS truncated FROM events, range(0, 3) r(m) GROUP BY m")
 def d2_truncation(spark, d):
-    e = _table(spark, d, "events").agg(F.min("ts").alias("t"))
-    months = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("months")
-    return e.select("t", months).select("months", (F.col("t") > _ntz("2024-01-30 00:00:00") - F.make_ym_interval(F.lit(0), F.col("months"))).alias("truncated"))
+    months = (0, 1, 2)
+    begun = ft.truncated_windows(_table(spark, d, "events"), _ntz("2024-01-30 00:00:00"), months, "ts")
+    return spark.createDataFrame([(m, m in begun) for m in months], "months int, truncated boolean")
 
 
 @query("WITH m AS (SELECT user_id, event_type AS f FROM events UNION ALL SELECT user_id, json_extract_string(props, '$.k') FROM events) SELECT user_id, " + ", ".join(f"round(sum(CASE WHEN f = '{t}' THEN 1.0 ELSE 0.0 END) / count(f), 6) AS factor_{t}" for t in TYPES) + " FROM m WHERE f IS NOT NULL GROUP BY user_id")
@@ -336,8 +341,7 @@ def i18_node_ids(spark, d):
 
 @query(f"WITH {_SEGS} SELECT concat('C', ordinal::VARCHAR) AS unit_id, 'corridor' AS unit_type, round(sqrt(pow(b + 40 - a, 2) + pow(a - b, 2)), 4) AS length_ft FROM sg UNION ALL SELECT concat('I', (row_number() OVER (ORDER BY count(*) DESC, min(ordinal * 2 + CASE WHEN gx >= 40 THEN 1 ELSE 0 END)) - 1)::VARCHAR), 'intersection', NULL FROM en GROUP BY gx, gy HAVING count(*) >= 2")
 def g1_union_units(spark, d):
-    s = _segments(spark, d)
-    return s.unionByName(un.junctions(s), allowMissingColumns=True).select("unit_id", "unit_type", F.round("length_ft", 4).alias("length_ft"))
+    return un.union_units(_segments(spark, d)).select("unit_id", "unit_type", F.round("length_ft", 4).alias("length_ft"))
 
 
 @query(f"WITH {CTE}, g AS (SELECT unit_type, median(posted_speed) AS m FROM u GROUP BY 1) SELECT unit_id, coalesce(posted_speed, m)::DOUBLE AS posted_speed, CASE WHEN posted_speed IS NULL THEN 1 ELSE 0 END AS road_attrs_imputed FROM u JOIN g USING (unit_type)")
@@ -347,7 +351,12 @@ def d12_impute_median(spark, d):
 
 @query(f"WITH {CTE} SELECT coalesce(borough, '?') AS borough, unit_type, count(*)::BIGINT AS n, sum(casualties_36mo)::BIGINT AS casualties FROM h GROUP BY 1, 2")
 def d15_group_totals(spark, d):
-    return history(spark, d).groupBy(F.coalesce("borough", F.lit("?")).alias("borough"), "unit_type").agg(F.count(F.lit(1)).alias("n"), F.sum("casualties_36mo").alias("casualties"))
+    return rk.group_totals(history(spark, d), "casualties_36mo").withColumn("borough", F.coalesce("borough", F.lit("?")))
+
+
+@query(f"WITH {CTE}, r2 AS (SELECT unit_id, borough FROM s ORDER BY eb_estimate DESC, tie LIMIT 300) SELECT borough, count(*)::BIGINT AS n FROM r2 WHERE borough IS NOT NULL GROUP BY 1")
+def d14_selection_boroughs(spark, d):
+    return rk.counts_by(rk.top_n(scored(spark, d), "eb_estimate", 300))
 
 
 @query("SELECT l_orderkey, count(*)::BIGINT AS copies FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -357,14 +366,14 @@ def d17_dup_keys(spark, d):
 
 @query("SELECT round(quantile_cont(o_totalprice, 0.025), 4) AS low, round(quantile_cont(o_totalprice, 0.975), 4) AS high FROM orders")
 def d18_percentile(spark, d):
-    return _table(spark, d, "orders").agg(F.round(F.percentile("o_totalprice", 0.025), 4).alias("low"), F.round(F.percentile("o_totalprice", 0.975), 4).alias("high"))
+    return sc.percentile_bounds(_table(spark, d, "orders"), "o_totalprice").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query(f"WITH {_ASSIGN} SELECT count(*)::BIGINT AS total, count(a.crash_id)::BIGINT AS assigned, count(CASE WHEN stage = 'corridor' THEN 1 END)::BIGINT AS to_segments, (count(*) - count(a.crash_id))::BIGINT AS too_far FROM ps LEFT JOIN asg a USING (crash_id)")
 def d20_balance(spark, d):
     ps, found = _assigned(spark, d)
-    rows = ps.select("crash_id").join(found.select("crash_id", "stage"), "crash_id", "left")
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count("stage").alias("assigned"), F.count_if(F.col("stage") == "corridor").alias("to_segments"), F.count_if(F.col("stage").isNull()).alias("too_far"))
+    r = ev.assignment_report(ps.withColumn("drop_reason", F.lit(None).cast("string")), found, Radii(25.0, 37.0))
+    return spark.createDataFrame([(r.total, r.assigned, r.to_segments, r.too_far)], "total long, assigned long, to_segments long, too_far long")
 
 
 @query(f"WITH {CTE} SELECT min_by(unit_id, (eb_estimate, unit_id)) AS lowest, max_by(unit_id, (eb_estimate, unit_id)) AS highest, bool_and(eb_estimate >= 0) AS all_positive, round(max(abs(eb_estimate - casualties_36mo)), 6) AS most_moved FROM s")
@@ -373,9 +382,11 @@ def d21_extremes(spark, d):
     return scored(spark, d).agg(F.min_by("unit_id", key).alias("lowest"), F.max_by("unit_id", key).alias("highest"), F.bool_and(F.col("eb_estimate") >= 0).alias("all_positive"), F.round(F.max(F.abs(F.col("eb_estimate") - F.col("casualties_36mo"))), 6).alias("most_moved"))
 
 
-@query(f"WITH {CTE} SELECT count(*)::BIGINT AS units, count(CASE WHEN unit_type = 'corridor' THEN 1 END)::BIGINT AS corridors, count(CASE WHEN is_priority THEN 1 END)::BIGINT AS priority, count(CASE WHEN borough IS NULL THEN 1 END)::BIGINT AS no_borough, sum(holdout_casualties)::BIGINT AS holdout FROM s")
+@query(f"WITH {CTE}, {TREATED} SELECT count(*)::BIGINT AS units, count(CASE WHEN unit_type = 'corridor' THEN 1 END)::BIGINT AS corridors, count(CASE WHEN is_priority THEN 1 END)::BIGINT AS priority, count(CASE WHEN borough IS NULL THEN 1 END)::BIGINT AS no_borough, count(treatment_date)::BIGINT AS treated, count(CASE WHEN treatment_date < {_stamp('1997-01-01 00:00:00')} THEN 1 END)::BIGINT AS treated_before, count(CASE WHEN treatment_date >= {_stamp('1997-01-01 00:00:00')} THEN 1 END)::BIGINT AS treated_during, sum(holdout_casualties)::BIGINT AS holdout FROM s LEFT JOIN tr USING (unit_id)")
 def d22_summary_counts(spark, d):
-    return history(spark, d).agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("unit_type") == "corridor").alias("corridors"), F.count_if("is_priority").alias("priority"), F.count_if(F.col("borough").isNull()).alias("no_borough"), F.sum("holdout_casualties").alias("holdout"))
+    from segrank.plans.run import summary_counts
+
+    return summary_counts(history(spark, d).join(treated(spark, d).select("unit_id", "treated", "treatment_date"), "unit_id"), _ntz("1997-01-01 00:00:00"))
 
 
 @query(f"WITH {CTE} SELECT unit_id, casualties_36mo, row_number() OVER (ORDER BY casualties_36mo DESC, tie)::BIGINT AS position FROM s")
@@ -431,10 +442,9 @@ def f6_n_sweep(spark, d):
     return top
 
 
-@query(f"WITH {_LABEL} SELECT 'corridor' AS layer, vec_id AS feature_id FROM k WHERE vec_id NOT IN (SELECT vec_id FROM lk) AND vec_id NOT IN (SELECT vec_id FROM nk) UNION ALL SELECT 'intersection', vec_id FROM v WHERE vec_id % 15 = 4 AND vec_id NOT IN (SELECT q.vec_id FROM nd, v q WHERE q.vec_id % 15 = 4 AND sqrt(pow(nd.x-q.x,2)+pow(nd.y-q.y,2)) <= 10)")
+@query(f"WITH {_LABEL} SELECT 'corridor' AS layer, vec_id AS feature_id FROM k WHERE vec_id NOT IN (SELECT vec_id FROM lk) AND vec_id NOT IN (SELECT vec_id FROM nk) UNION ALL SELECT 'intersection', vec_id FROM q WHERE vec_id NOT IN (SELECT vec_id FROM np)")
 def g3_unmatched(spark, d):
-    pts = points(spark, d).where("vec_id % 15 = 4").select(F.col("vec_id").alias("feature_id"), F.array(F.struct("x", "y")).alias("path"))
-    return labels.priority_labels(_universe(spark, d), _odd_lines(spark, d), pts, 10.0)[1]
+    return labels.priority_labels(_universe(spark, d), *_features(spark, d), 10.0)[1]
 
 
 @query("SELECT DISTINCT regexp_replace(regexp_replace(lower(p_type || '/' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS slug FROM part")
@@ -449,7 +459,7 @@ def h5_round_half_even(spark, d):
 
 @query("SELECT o_orderkey, date_trunc('second', o_orderdate - INTERVAL 1 MONTH) AS before FROM orders")
 def h10_month_arithmetic(spark, d):
-    return _table(spark, d, "orders").select("o_orderkey", F.date_trunc("second", F.col("o_orderdate") - F.make_ym_interval(F.lit(0), F.lit(1))).cast("timestamp_ntz").alias("before"))
+    return _table(spark, d, "orders").select("o_orderkey", F.date_trunc("second", fn.months_before(F.col("o_orderdate"), 1)).cast("timestamp_ntz").alias("before"))
 
 
 @query(f"WITH {CTE} SELECT unit_id, md5(unit_id) AS tie FROM u")
@@ -462,9 +472,9 @@ def h11_tiebreak_blake2b(spark, d):
     return units(spark, d).select("unit_id", F.hex(fn.tiebreak("unit_id", "blake2b")).alias("tie"))
 
 
-@query(f"WITH {XY}, {LINE} SELECT unit_id, round(sqrt(pow(bx-ax,2)+pow(by_-ay,2)), 4) AS length FROM l")
+@query(f"WITH {XY}, {ALL_LINES} SELECT unit_id, round(sqrt(pow(bx-ax,2)+pow(by_-ay,2)), 4) AS length FROM l")
 def h15_length(spark, d):
-    return lines(spark, d).select("unit_id", F.round(geo.path_length("path"), 4).alias("length"))
+    return lines(spark, d, 1).select("unit_id", F.round(geo.path_length("path"), 4).alias("length"))
 
 
 def _reproject_sql() -> str:
@@ -493,9 +503,11 @@ def i1_exposure(spark, d):
     return ft.exposure(units(spark, d)).select("unit_id", "exposure", "exposure_valid", F.round("log_exposure", 6).alias("log_exposure"))
 
 
-@query(O["d12_impute_median"])
+@query(f"""WITH {CTE}, c AS (SELECT unit_id, unit_type, posted_speed::DOUBLE AS a, length_ft AS b FROM u), g AS (SELECT unit_type, median(a) AS a, median(b) AS b FROM c GROUP BY 1), a AS (SELECT median(a) AS a, median(b) AS b FROM c)
+SELECT unit_id, coalesce(c.a, g.a, a.a)::DOUBLE AS posted_speed, round(coalesce(c.b, g.b, a.b), 6)::DOUBLE AS length_ft, CASE WHEN c.a IS NULL OR c.b IS NULL THEN 1 ELSE 0 END AS road_attrs_imputed FROM c JOIN g USING (unit_type), a""")
 def i2_impute(spark, d):
-    return d12_impute_median(spark, d)
+    out = ft.impute_road_attributes(units(spark, d), ["posted_speed", "length_ft"])  # no junction has a length: the median of all
+    return out.select("unit_id", "posted_speed", F.round("length_ft", 6).alias("length_ft"), "road_attrs_imputed")
 
 
 @query(f"WITH {CTE} SELECT unit_id, round(eb_estimate, 6) AS eb_estimate FROM s")
@@ -522,35 +534,53 @@ def i13_capture(spark, d):
     return sc.capture(h, rk.top_n(h, "casualties_36mo", h.where("is_priority").count())).withColumn("rate", F.round("rate", 6))
 
 
+#: Resamples by MD5 weights, which SQL can repeat; the intervals of runs draw BOOTSTRAP_ITERATIONS by class.
+DRAWS = 1000
 _POISSON = "CASE " + " ".join(f"WHEN un < {c!r} THEN {i}" for i, c in enumerate(sc.POISSON_CDF)) + f" ELSE {len(sc.POISSON_CDF)} END"
 
 
 @query(f"""WITH {CTE}, {_pick('a', 'eb_estimate')}, {_pick('b', 'casualties_36mo')},
 z AS (SELECT unit_id, holdout_casualties AS v, (CASE WHEN unit_id IN (SELECT unit_id FROM a) THEN 1 ELSE 0 END) - (CASE WHEN unit_id IN (SELECT unit_id FROM b) THEN 1 ELSE 0 END) AS d FROM s WHERE holdout_casualties > 0),
-y AS (SELECT *, ('0x' || substr(md5(unit_id || ':' || draw::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS un FROM z, range(1, 21) r(draw)), k AS (SELECT *, {_POISSON} AS k FROM y)
+y AS (SELECT *, ('0x' || substr(md5(unit_id || ':' || draw::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS un FROM z, range(1, {DRAWS + 1}) r(draw)), k AS (SELECT *, {_POISSON} AS k FROM y)
 SELECT draw::INTEGER AS draw, sum(k * v)::BIGINT AS whole, sum(k * v * d)::BIGINT AS diff FROM k WHERE k > 0 GROUP BY draw""")
 def i14_poisson_bootstrap(spark, d):
-    s = scored(spark, d)
+    s = stored(rk.with_tiebreak(scored(spark, d)), "scored")
     n = s.where("is_priority").count()
     both = sc.flagged(sc.flagged(s, rk.top_n(s, "eb_estimate", n), "_a"), rk.top_n(s, "casualties_36mo", n), "_b")
-    return sc.poisson_draws(both, "holdout_casualties", 20)
+    return sc.poisson_draws(both, "holdout_casualties", DRAWS)
 
 
 @query()
 def i14_bootstrap_numpy(spark, d):
-    s = rk.with_tiebreak(scored(spark, d))
+    s = stored(rk.with_tiebreak(scored(spark, d)), "scored")
     n = s.where("is_priority").count()
-    ci = sc.bootstrap_difference(s, rk.top_n(s, "eb_estimate", n), rk.top_n(s, "casualties_36mo", n), iterations=500)
+    ci = sc.bootstrap_gather(s, rk.top_n(s, "eb_estimate", n), rk.top_n(s, "casualties_36mo", n))
     return spark.range(1).select(F.lit(ci.point).alias("point"), F.lit(ci.low).alias("low"), F.lit(ci.high).alias("high"), F.lit(ci.iterations).alias("iterations"))
 
 
-@query(f"WITH {CTE}, {_pick('a', 'eb_estimate')}, {_pick('b', 'casualties_36mo')}, r AS (SELECT 100.0 * sum(CASE WHEN unit_id IN (SELECT unit_id FROM a) THEN holdout_casualties ELSE 0 END) / sum(holdout_casualties) AS eb, 100.0 * sum(CASE WHEN unit_id IN (SELECT unit_id FROM b) THEN holdout_casualties ELSE 0 END) / sum(holdout_casualties) AS naive FROM s) SELECT round(eb::DOUBLE, 6) AS eb, round(naive::DOUBLE, 6) AS naive, round((eb - naive)::DOUBLE, 6) AS lift, (eb - naive) >= 5.0 AS clears_with_sure_interval FROM r")
+@query()
+def i14_bootstrap_classes(spark, d):
+    s = stored(rk.with_tiebreak(scored(spark, d)), "scored")
+    n = s.where("is_priority").count()
+    ci = sc.bootstrap_difference(s, rk.top_n(s, "eb_estimate", n), rk.top_n(s, "casualties_36mo", n))
+    return spark.range(1).select(F.lit(ci.point).alias("point"), F.lit(ci.low).alias("low"), F.lit(ci.high).alias("high"), F.lit(ci.iterations).alias("iterations"))
+
+
+_DRAWN = f"""{_pick('a', 'eb_estimate')}, {_pick('b', 'casualties_36mo')},
+z AS (SELECT unit_id, holdout_casualties AS v, (CASE WHEN unit_id IN (SELECT unit_id FROM a) THEN 1 ELSE 0 END) - (CASE WHEN unit_id IN (SELECT unit_id FROM b) THEN 1 ELSE 0 END) AS d FROM s WHERE holdout_casualties > 0),
+y AS (SELECT *, ('0x' || substr(md5(unit_id || ':' || draw::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS un FROM z, range(1, {DRAWS + 1}) r(draw)), k AS (SELECT *, {_POISSON} AS k FROM y),
+dr AS (SELECT 100.0::DOUBLE * sum(k * v * d) / sum(k * v) AS r FROM k WHERE k > 0 GROUP BY draw), ci AS (SELECT quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high FROM dr)"""
+
+
+@query(f"WITH {CTE}, {_DRAWN}, r AS (SELECT 100.0 * sum(CASE WHEN unit_id IN (SELECT unit_id FROM a) THEN holdout_casualties ELSE 0 END) / sum(holdout_casualties) AS eb, 100.0 * sum(CASE WHEN unit_id IN (SELECT unit_id FROM b) THEN holdout_casualties ELSE 0 END) / sum(holdout_casualties) AS naive FROM s) SELECT round(eb::DOUBLE, 6) AS eb, round(naive::DOUBLE, 6) AS naive, round((eb - naive)::DOUBLE, 6) AS lift, round(low, 6) AS low, round(high, 6) AS high, (eb - naive) >= 5.0 AND (low > 0 OR high < 0) AS clears FROM r, ci")
 def i15_verdict(spark, d):
-    s = scored(spark, d)
+    s = stored(rk.with_tiebreak(scored(spark, d)), "scored")
     n = s.where("is_priority").count()
-    a, b = (100 * sc.capture_rate(s, rk.top_n(s, c, n)).rate for c in ("eb_estimate", "casualties_36mo"))
-    v = sc.preregistered_bar(a, b, 1.0, 2.0)
-    return spark.range(1).select(F.round(F.lit(a), 6).alias("eb"), F.round(F.lit(b), 6).alias("naive"), F.round(F.lit(v.lift), 6).alias("lift"), F.lit(v.clears).alias("clears_with_sure_interval"))
+    picks = {c: rk.top_n(s, c, n) for c in ("eb_estimate", "casualties_36mo")}
+    a, b = (100 * sc.capture_rate(s, p).rate for p in picks.values())
+    ci = sc.poisson_interval(sc.flagged(sc.flagged(s, picks["eb_estimate"], "_a"), picks["casualties_36mo"], "_b"), "holdout_casualties", DRAWS)
+    v = sc.preregistered_bar(a, b, ci.low, ci.high)
+    return spark.createDataFrame([(round(a, 6), round(b, 6), round(v.lift, 6), round(ci.low, 6), round(ci.high, 6), v.clears)], "eb double, naive double, lift double, low double, high double, clears boolean")
 
 
 @query(f"WITH {_TREATED_SQL}, g AS (SELECT CASE WHEN NOT treated THEN 'untreated' WHEN treatment_date < {_stamp('1997-01-01 00:00:00')} THEN 'before' ELSE 'during' END AS bucket, is_priority, holdout_casualties FROM st), f(bucket) AS (VALUES ('before'), ('during'), ('undated'), ('untreated')) SELECT f.bucket, coalesce(sum(CASE WHEN is_priority THEN holdout_casualties ELSE 0 END), 0)::BIGINT AS captured, coalesce(sum(holdout_casualties), 0)::BIGINT AS total, round(CASE WHEN sum(holdout_casualties) > 0 THEN sum(CASE WHEN is_priority THEN holdout_casualties ELSE 0 END)::DOUBLE / sum(holdout_casualties) END, 6) AS rate FROM f LEFT JOIN g USING (bucket) GROUP BY 1")
@@ -576,48 +606,97 @@ def j_windowed_counts(spark, d):
     return out.select("user_id", shift("start").alias("start"), shift("end").alias("end"), "events", F.round("total", 4).alias("total"))
 
 
+MODEL_PREDICTORS = list(PREDICTORS)
+
+
 def _model_frame(spark, d):
-    h = ft.impute_road_attributes(ft.exposure(treated(spark, d).select("unit_id", "treated", "treatment_date").join(history(spark, d), "unit_id")), ["posted_speed"])
-    return h
+    h = ft.exposure(treated(spark, d).select("unit_id", "treated", "treatment_date").join(history(spark, d), "unit_id"))
+    return ft.impute_road_attributes(h, list(ROAD_ATTRIBUTES)).withColumn("is_highway", un.is_highway())
 
 
 @query()
 def i7_poisson_glm(spark, d):
     f = _model_frame(spark, d).where("unit_type = 'corridor'")
-    b0, b = md.poisson_glm(f, "crashes_36mo", ["posted_speed"])
-    return spark.range(1).select(F.round(F.lit(b0), 6).alias("intercept"), F.round(F.lit(b[0]), 8).alias("posted_speed"))
+    b0, b = md.poisson_glm(f, "crashes_36mo", MODEL_PREDICTORS)
+    return spark.range(1).select(F.round(F.lit(b0), 6).alias("intercept"), *(F.round(F.lit(x), 8).alias(c) for c, x in zip(MODEL_PREDICTORS, b, strict=True)))
 
 
 @query()
 def i8_nb2_fit(spark, d):
-    f = md.fit_nb(_model_frame(spark, d).where("unit_type = 'corridor'"), "casualties_36mo", ["posted_speed"])
-    return spark.range(1).select(F.lit(f.n).alias("n"), F.lit(round(f.intercept, 6)).alias("intercept"), F.lit(round(f.coefficients["posted_speed"], 8)).alias("posted_speed"), F.lit(round(f.dispersion, 6)).alias("dispersion"))
+    frame = _model_frame(spark, d)
+    fits = [md.fit_nb(frame.where(F.col("unit_type") == t), "casualties_36mo", MODEL_PREDICTORS, t) for t in K]
+    return spark.createDataFrame([(f.unit_type, f.n, round(f.intercept, 6), round(f.dispersion, 6), *(round(f.coefficients[c], 8) for c in MODEL_PREDICTORS)) for f in fits], ["unit_type", "n", "intercept", "dispersion", *MODEL_PREDICTORS])
 
 
 @query()
 def i11_fit_and_blend(spark, d):
-    return md.fit_and_blend(_model_frame(spark, d), predictors=["posted_speed"])[0].select("unit_id", "unit_type", "casualties_36mo", "spf_prediction", "eb_estimate")
-
-
-@query()
+    return md.fit_and_blend(_model_frame(spark, d), predictors=MODEL_PREDICTORS)[0].select("unit_id", "unit_type", "casualties_36mo", "spf_prediction", "eb_estimate")
+
+
+#: Events at points, beside the units: one a day and place by vec_id, three years to train and two to hold out.
+SWEEP_EVENTS = {"crash_id": "vec_id", "x": "x + 30", "y": "y - 20", "casualties": "CASE WHEN vec_id % 4 = 0 THEN vec_id % 7 ELSE vec_id % 2 END", "late": "vec_id * 37 % 1825 >= 1095"}
+
+
+def _sweep_sql(i: int, r: Radii) -> str:
+    """The run of one setting: two-stage assignment, labels by buffer, blend at fixed dispersions, three selections of one size."""
+    return f"""n{i}a AS (SELECT crash_id, min(struct_pack(d := dist, u := unit_id)) AS b FROM nn WHERE dist <= {r.node_ft} GROUP BY 1),
+n{i}b AS (SELECT crash_id, min(struct_pack(d := dist, u := unit_id)) AS b FROM ll WHERE dist <= {r.join_ft} AND crash_id NOT IN (SELECT crash_id FROM n{i}a) GROUP BY 1),
+n{i}e AS (SELECT b.u AS unit_id, casualties, late FROM (SELECT * FROM n{i}a UNION ALL SELECT * FROM n{i}b) JOIN pe USING (crash_id)),
+n{i}p AS (SELECT unit_id FROM lf WHERE dist <= {r.label_ft} UNION SELECT unit_id FROM nf WHERE dist <= {r.label_ft}),
+n{i}u AS (SELECT unit_id, unit_type, exposure, coalesce(sum(CASE WHEN NOT late THEN casualties END), 0)::BIGINT AS past, coalesce(sum(CASE WHEN late THEN casualties END), 0)::BIGINT AS hold FROM uu LEFT JOIN n{i}e USING (unit_id) GROUP BY ALL),
+n{i}w AS (SELECT *, unit_id IN (SELECT unit_id FROM n{i}p) AS r1, md5(unit_id) AS tie, 1 / (1 + CASE WHEN unit_type = 'corridor' THEN {K['corridor']}::DOUBLE ELSE {K['intersection']}::DOUBLE END * exposure) AS w FROM n{i}u),
+n{i}s AS (SELECT *, round(w * exposure + (1 - w) * past, 9) AS eb FROM n{i}w),
+n{i}r AS (SELECT *, row_number() OVER (ORDER BY past DESC, tie) AS k2, row_number() OVER (ORDER BY eb DESC, tie) AS k3, (SELECT count(*) FROM n{i}s WHERE r1) AS n FROM n{i}s),
+n{i} AS (SELECT '{r.tag}' AS tag, max(n)::BIGINT AS n, sum(hold)::BIGINT AS holdout, round(100.0 * sum(CASE WHEN r1 THEN hold ELSE 0 END) / sum(hold), 6)::DOUBLE AS r1, round(100.0 * sum(CASE WHEN k2 <= n THEN hold ELSE 0 END) / sum(hold), 6)::DOUBLE AS r2, round(100.0 * sum(CASE WHEN k3 <= n THEN hold ELSE 0 END) / sum(hold), 6)::DOUBLE AS r3 FROM n{i}r)"""
+
+
+def _sweep_oracle() -> str:
+    from segrank.plans.sweep import settings
+
+    runs = {r.tag: r for _, r in settings()}
+    shifted = {"x": "x + 900", "y": "y + 700"}
+    k = ", ".join(f"a.{c} + {900 if c == 'x' else 700} AS a{c}, b.{c} + {900 if c == 'x' else 700} AS b{'y_' if c == 'y' else c}" for c in shifted)
+    rows = " UNION ALL ".join(f"SELECT '{knob}' AS knob, {r.as_dict()[knob]}::DOUBLE AS value, * FROM n{list(runs).index(r.tag)}" for knob, r in settings())
+    return f"""WITH {XY}, {LINE}, k AS (SELECT a.vec_id, {k} FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.y < -400), q AS (SELECT vec_id, x + 23 AS x, y + 41 AS y FROM v WHERE y < -400),
+pe AS (SELECT {_cols(SWEEP_EVENTS)} FROM v), uu AS (SELECT unit_id, 'corridor' AS unit_type, greatest(sqrt(pow(bx-ax,2)+pow(by_-ay,2)) / 1000, 1e-9) AS exposure FROM l UNION ALL SELECT unit_id, 'intersection', 1.0 FROM nd),
+nn AS (SELECT crash_id, unit_id, sqrt(pow(pe.x-nd.x,2)+pow(pe.y-nd.y,2)) AS dist FROM pe, nd), ll AS (SELECT crash_id, unit_id, {_ps('pe.x', 'pe.y', 'l.ax', 'l.ay', 'l.bx', 'l.by_')} AS dist FROM pe, l),
+lf AS (SELECT unit_id, min(CASE WHEN {_CROSS} THEN 0.0 ELSE {_LL} END) AS dist FROM l, k GROUP BY 1 UNION ALL SELECT nd.unit_id, min({_ps('nd.x', 'nd.y', 'k.ax', 'k.ay', 'k.bx', 'k.by_')}) FROM nd, k GROUP BY 1),
+nf AS (SELECT nd.unit_id, min(sqrt(pow(nd.x-q.x,2)+pow(nd.y-q.y,2))) AS dist FROM nd, q GROUP BY 1),
+{", ".join(_sweep_sql(i, r) for i, r in enumerate(runs.values()))}
+SELECT *, round(r3 - r2, 6) AS lift FROM ({rows})"""
+
+
+def _sweep_units(universe, at, layers, radii):
+    """Units of one setting: events assigned, labels within the buffer, casualties before and after, and the blend."""
+    found = ev.assign(at, universe, "crash_id", radii).join(at.select("crash_id", "casualties", "late"), "crash_id")
+    sums = found.groupBy("unit_id").agg(*(F.coalesce(F.sum(F.when(c, F.col("casualties"))), F.lit(0)).cast("bigint").alias(n) for n, c in (("casualties_36mo", ~F.col("late")), ("holdout_casualties", F.col("late")))))
+    units_ = ft.fill_join(labels.priority_labels(universe, *layers, radii.label_ft)[0], sums)
+    units_ = units_.withColumn("spf_prediction", F.when(F.col("unit_type") == "corridor", F.greatest(geo.path_length("path") / 1000, F.lit(1e-9))).otherwise(1.0))
+    blend = F.when(F.col("unit_type") == "corridor", md.empirical_bayes("spf_prediction", "casualties_36mo", K["corridor"])).otherwise(md.empirical_bayes("spf_prediction", "casualties_36mo", K["intersection"]))
+    extra = {"borough": F.lit("TOWN"), "treated": F.lit(False), "treatment_date": F.lit(None).cast("timestamp_ntz"), "eb_estimate": F.round(blend, 9)}
+    return units_.withColumns(extra).drop("path")
+
+
+@query(_sweep_oracle())
 def i24_sensitivity(spark, d):
+    """Every setting assigns, labels, blends and evaluates anew; interval ends are random and so not among the columns."""
+    from segrank.plans.run import judge
     from segrank.plans.sweep import settings, sweep
 
-    h = rk.with_tiebreak(scored(spark, d)).persist()
-
-    def run(radii):
-        n = int(100 + radii.label_ft)
-        r2, r3 = (100 * sc.capture_rate(h, rk.top_n(h, c, n)).rate for c in ("casualties_36mo", "eb_estimate"))
-        return {"n": n, "holdout_casualties": 0, "rates": {"r1": 0.0, "r2": r2, "r3": r3}, "lift": r3 - r2, "ci": [0.0, 0.0], "clears_bar": r3 - r2 >= 5}
-
-    return spark.createDataFrame(sweep(run, settings()))
+    universe = stored(_universe(spark, d), "universe")
+    at = stored(points(spark, d).selectExpr(*(f"{e} AS {c}" for c, e in SWEEP_EVENTS.items())), "events")
+    # the published list covers one part of the town
+    layers = [stored(df.where(F.element_at("path", 1)["y"] - dy < -400), "layer") for df, dy in zip(_features(spark, d), (700, 41), strict=True)]
+    rows = sweep(lambda radii: judge(_sweep_units(universe, at, layers, radii), K)[1], settings())
+    keep = lambda r: (r["knob"], r["value"], r["tag"], r["n"], r["holdout"], *(round(r[c], 6) for c in ("r1", "r2", "r3")), round(round(r["r3"], 6) - round(r["r2"], 6), 6))
+    return spark.createDataFrame([keep(r) for r in rows], "knob string, value double, tag string, n long, holdout long, r1 double, r2 double, r3 double, lift double")
 
 
 @query()
 def i25_zero_history(spark, d):
     from segrank.plans.sweep import zero_history
 
-    rows = zero_history(scored(spark, d), K, (50, 100, 200), 500)
+    rows = zero_history(scored(spark, d), K, ZERO_BUDGETS, ZERO_DRAWS)
     return spark.createDataFrame([{k: v for k, v in r.items() if k != "ceiling"} for r in rows])
 
 
@@ -626,21 +705,21 @@ def i23_audit(spark, d):
     from segrank.plans.audit import rederive
     from segrank.plans.run import evaluate
 
-    frame, summary = evaluate(_model_frame(spark, d), ["posted_speed"], iterations=200, holdout_start="1997-01-01 00:00:00")
-    return spark.createDataFrame([(c.label, c.published if c.published is None else float(c.published), c.rederived if c.rederived is None else float(c.rederived), c.agrees) for c in rederive(frame, summary, 200)], "label string, published double, rederived double, agrees boolean")
+    frame, summary = evaluate(_model_frame(spark, d), MODEL_PREDICTORS, holdout_start="1997-01-01 00:00:00")
+    return spark.createDataFrame([(c.label, c.published if c.published is None else float(c.published), c.rederived if c.rederived is None else float(c.rederived), c.agrees) for c in rederive(frame, summary, BOOTSTRAP_ITERATIONS)], "label string, published double, rederived double, agrees boolean")
 
 
 @query()
 def flagship_backtest(spark, d):
     from segrank.plans.run import evaluate
 
-    _, s = evaluate(_model_frame(spark, d), ["posted_speed"], iterations=500, holdout_start="1997-01-01 00:00:00")
+    _, s = evaluate(_model_frame(spark, d), MODEL_PREDICTORS, holdout_start="1997-01-01 00:00:00")
     return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in s["rates"].items()], "ranking string, capture_pct double")
 
 
 @query(f"WITH {CTE}, {_pick('a', 'casualties_36mo')}, {_pick('b', 'eb_estimate')} SELECT k AS ranking, sum(CASE WHEN chosen THEN holdout_casualties ELSE 0 END)::BIGINT AS captured, sum(holdout_casualties)::BIGINT AS total FROM (SELECT 'r1' AS k, is_priority AS chosen, holdout_casualties FROM s UNION ALL SELECT 'r2', unit_id IN (SELECT unit_id FROM a), holdout_casualties FROM s UNION ALL SELECT 'r3', unit_id IN (SELECT unit_id FROM b), holdout_casualties FROM s) GROUP BY 1")
 def flagship_fixed_k(spark, d):
-    s = rk.with_tiebreak(scored(spark, d))
+    s = stored(rk.with_tiebreak(scored(spark, d)), "scored")
     n = s.where("is_priority").count()
     picks = {"r1": s.where("is_priority"), "r2": rk.top_n(s, "casualties_36mo", n), "r3": rk.top_n(s, "eb_estimate", n)}
     out = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -13,6 +14,9 @@ from segrank.functions.guards import BacktestError
 from segrank.operators.rank import pct_rank
 
 
+SCHEMA = "knob string, value double, tag string, published boolean, join_ft double, node_ft double, label_ft double, n long, holdout long, r1 double, r2 double, r3 double, lift double, low double, high double, clears_bar boolean"
+
+
 def settings(quick: bool = False) -> list[tuple[str, Radii]]:
     """(knob, radii): each radius varied alone with the published value among its own; ``quick``: the first of each."""
     out = []
@@ -41,13 +45,43 @@ def conclusion(rows: list[dict]) -> dict:
     return {"min_lift": low["lift"], "min_tag": low["tag"], "max_lift": high["lift"], "max_tag": high["tag"], "all_clear": all(r["clears_bar"] for r in rows)}
 
 
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(map(str, r)) + " |" for r in rows)]
+
+
+def sweep_report(rows: list[dict]) -> str:
+    """Markdown: a line for each setting, and whether all clear the bar."""
+    pct = lambda x: "UNDEFINED" if x is None else f"{x:.2f}"
+    end = conclusion(rows)
+    lines = _table(["radius", "ft", "setting", "N", "r1 %", "r2 %", "r3 %", "lift pp", "interval", "clears"], [[r["knob"], f"{r['value']:g}", r["tag"] + " (published)" * r["published"], r["n"], pct(r["r1"]), pct(r["r2"]), pct(r["r3"]), pct(r["lift"]), f"[{r['low']:.2f}, {r['high']:.2f}]", "yes" if r["clears_bar"] else "NO"] for r in rows])
+    return "\n".join(["# Sensitivity to the radii", "", *lines, "", f"Lift from {end['min_lift']:.2f} pp ({end['min_tag']}) to {end['max_lift']:.2f} pp ({end['max_tag']}); " + ("every setting clears the bar." if end["all_clear"] else "NOT every setting clears the bar."), ""])
+
+
 def write_sweep(spark: SparkSession, rows: list[dict], folder: str, partial: bool = False) -> str:
-    """One CSV file; a partial sweep has another name."""
-    path = os.path.join(folder, "radius-sensitivity-partial.csv" if partial else "radius-sensitivity.csv")
-    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A CSV and a Markdown file; a partial sweep has other names."""
+    path = os.path.join(folder, "radius-sensitivity-quick.csv" if partial else "radius-sensitivity.csv")
+    spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in rows], SCHEMA).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    os.makedirs(folder, exist_ok=True)
+    with open(path[:-4] + ".md", "w", encoding="utf-8") as f:
+        f.write(sweep_report(rows))
     return path
 
 
+def write_zero_history(rows: list[dict], dispersion: dict[str, float], folder: str, draws: int = ZERO_DRAWS, seed: int = ZERO_SEED) -> str:
+    """zero-history-validity.json and .md; returns the Markdown."""
+    os.makedirs(folder, exist_ok=True)
+    results = [{k: v for k, v in r.items() if k != "ceiling"} for r in rows]
+    ceiling = {t: 1 / k for t, k in dispersion.items()}
+    with open(os.path.join(folder, "zero-history-validity.json"), "w", encoding="utf-8") as f:
+        json.dump({"stratum_units": rows[0]["stratum"], "stratum_holdout_casualties": rows[0]["total"], "dispersion": dispersion, "eb_ceiling_1_over_k": ceiling, "random_draws": draws, "seed": seed, "results": results}, f, indent=2)
+    share = lambda c: "UNDEFINED" if not rows[0]["total"] else f"{100 * c / rows[0]['total']:.2f}%"
+    lines = _table(["budget", "order", "captured", "of stratum", "random mean", "random p95", "tie block"], [[r["budget"], k, r[k], share(r[k]), f"{r['random_mean']:.1f}", f"{r['random_p95']:.0f}", r["tie_block"]] for r in rows for k in ("eb", "pct")])
+    text = "\n".join(["# Order among units without history", "", f"{rows[0]['stratum']} units without history have {rows[0]['total']} casualties in the holdout.", "", "Ceiling 1/k: " + ", ".join(f"{t} {c:.4f}" for t, c in sorted(ceiling.items())), "", *lines, ""])
+    with open(os.path.join(folder, "zero-history-validity.md"), "w", encoding="utf-8") as f:
+        f.write(text)
+    return text
+
+
 def zero_stratum(scored: DataFrame, observed: str = "casualties_36mo") -> DataFrame:
     """Units without history in the window."""
     return scored.where(F.col(observed) == 0)
@@ -75,7 +109,7 @@ def zero_history(scored: DataFrame, dispersion: dict[str, float], budgets=ZERO_B
         totals = rng.multivariate_hypergeometric(counts, take, size=draws, method="marginals") @ values
         cut = stratum.orderBy(F.desc("eb_estimate"), F.asc("unit_id")).limit(take).agg(F.min("eb_estimate")).first()[0]
         tied = stratum.where(F.col("eb_estimate") == cut).count()
-        out.append({"budget": b, "stratum": size, "eb": captured_by(stratum, "eb_estimate", take, casualties), "pct": captured_by(stratum, "pct_rank", take, casualties), "random_mean": float(totals.mean()), "random_p95": float(np.percentile(totals, 95)), "random_max": int(totals.max()), "tie_block": tied})
+        out.append({"budget": b, "stratum": size, "total": int((values * counts).sum()), "eb": captured_by(stratum, "eb_estimate", take, casualties), "pct": captured_by(stratum, "pct_rank", take, casualties), "random_mean": float(totals.mean()), "random_p95": float(np.percentile(totals, 95)), "random_max": int(totals.max()), "tie_block": tied})
     out[0]["ceiling"] = {t: 1 / k for t, k in dispersion.items()}
     stratum.unpersist()
     return out

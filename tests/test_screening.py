@@ -180,8 +180,12 @@ def test_bootstrap_and_bar(spark, holdout):
     assert same.low == same.high == 0 and not same.excludes_zero
     ci = sc.bootstrap_difference(holdout, a, b, iterations=300)
     assert ci.low <= ci.point <= ci.high and sc.bootstrap_difference(holdout, a, b, iterations=300) == ci
-    wide = sc.bootstrap_difference(holdout, a, b, iterations=300, max_units=1)
-    assert wide.mode == "Poisson" and abs(wide.point - ci.point) < 1e-9
+    # drawing classes or units is one law: only chance differs; Poisson weights don't fix the number of units
+    many = sc.bootstrap_difference(holdout, a, b, iterations=20_000)
+    units = sc.bootstrap_gather(holdout, a, b, iterations=20_000)
+    weights = sc.poisson_interval(sc.flagged(sc.flagged(holdout, a, "_a"), b, "_b"), "holdout_casualties", 3000)
+    assert many.point == pytest.approx(units.point) and abs(many.low - units.low) < 1.5 and abs(many.high - units.high) < 1.5, (many, units)
+    assert weights.point == pytest.approx(units.point) and abs(weights.low - units.low) < 8 and abs(weights.high - units.high) < 8, (weights, units)
     one = holdout.withColumn("holdout_casualties", (F.col("unit_id") == "C0").cast("int"))
     with pytest.raises(g.BacktestError):
         sc.bootstrap_difference(one, a, b, iterations=200)
@@ -320,6 +324,56 @@ def test_snapshots(spark, tmp_path):
         snapshots.latest_snapshot(str(tmp_path / "none"))
 
 
+def test_pull_of_published_tables(spark, tmp_path):
+    from segrank.sources import published
+
+    read = lambda t, token: spark.createDataFrame([('{"type":"Point","coordinates":[1,2]}', t.key)], "the_geom string, name string")
+    root = str(tmp_path)
+    assert len(published.TABLES) == 6 and published.TABLES["crashes"].url.endswith("/h9gi-nx95.json")
+    assert published.pull(spark, root, date="2026-01-01", read=lambda s, t, token: read(t, token), count=lambda t, token: 1) == 0
+    assert spark.read.parquet(f"{root}/2026-01-01/vzv_corridors.parquet").columns == ["name", "geometry_wkt"] and "the_geom" in spark.read.parquet(f"{root}/2026-01-01/crashes.parquet").columns
+    assert published.pull(spark, root, ["crashes"], date="2026-01-02", read=lambda s, t, token: read(t, token), count=lambda t, token: 2) == 1  # rows were lost
+    assert "1 rows of 2" in json.load(open(f"{root}/2026-01-02/manifest.json"))["failed"]["crashes"] and not os.path.exists(f"{root}/2026-01-02/crashes.parquet")
+    with pytest.raises(g.SourceError):
+        published.pull(spark, root, ["nope"])
+    api = FakeApi([{"id": "1"}, {"id": "2", "name": "x"}])
+    assert paged_api.columns_of(paged_api.ApiTable("t", "abcd-1234", "http://api"), get=api) == ("id", "name")
+
+
+def test_numbers_and_ranks_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(un, "BUCKET_KEYS", 7)
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 37 % 5).alias("lead")).repartition(6)
+    got = {r["k"]: r["no"] for r in un.numbered(df, [-F.col("lead")], "k", ["k"], "no").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(range(500), key=lambda k: (-(k * 37 % 5), k)))}
+    units = spark.range(900).select(F.col("id").cast("string").alias("unit_id"), (F.col("id") % 3).cast("string").alias("kind"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") * 7919 % 211).alias("s")).repartition(5)
+    rows = [(r["unit_id"], r["kind"], r["s"]) for r in units.collect()]
+    got = {r["unit_id"]: r["pct_rank"] for r in rk.pct_rank(units, "s", "kind").collect()}
+    for u, kind, v in rows[::37]:
+        own = [x for _, k, x in rows if k == kind]
+        assert got[u] == pytest.approx((sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2) / len(own))
+    few, many = rk.top_n(units, "s", 250), rk.top_n(units, "s", 250, sort_limit=10)
+    assert {r["unit_id"] for r in few.collect()} == {r["unit_id"] for r in many.collect()} and many.columns == few.columns
+    got = {r["unit_id"]: (r["position"], r["cumulative"], r["total"]) for r in rk.ranked(units, "s", by=("kind",), total="s").collect()}
+    for kind in "012":
+        so_far = 0
+        own = [r for r in rk.with_tiebreak(units).where(F.col("kind") == kind).orderBy(F.desc("s"), "tie").collect()]
+        for i, r in enumerate(own):
+            so_far += r["s"]
+            assert got[r["unit_id"]] == (i + 1, so_far, sum(x["s"] for x in own))
+
+
+def test_reports_of_sweeps(spark, tmp_path):
+    rows = sweep.sweep(lambda r: {"n": 1, "holdout_casualties": 1, "rates": {"r1": 1.0, "r2": None, "r3": 2.0}, "lift": 1.5, "ci": [0.1, 0.2], "clears_bar": r.join_ft < 200}, sweep.settings())
+    assert sweep.write_sweep(spark, rows, str(tmp_path)) and "NOT every setting" in open(tmp_path / "radius-sensitivity.md").read() and "UNDEFINED" in sweep.sweep_report(rows)
+    zero = [{"budget": 5, "stratum": 9, "total": 4, "eb": 2, "pct": 1, "random_mean": 1.5, "random_p95": 3.0, "random_max": 4, "tie_block": 1, "ceiling": {"corridor": 0.5}}]
+    assert "| 5 | eb | 2 | 50.00% |" in sweep.write_zero_history(zero, {"corridor": 2.0}, str(tmp_path))
+    assert json.load(open(tmp_path / "zero-history-validity.json"))["eb_ceiling_1_over_k"] == {"corridor": 0.5}
+
+
+def test_selection_counts_by_borough(holdout):
+    assert {r["borough"]: r["n"] for r in rk.counts_by(rk.top_n(holdout, "score", 4)).collect()} == {"M": 2, "B": 2}
+
+
 def test_sweep_runs_each_setting_once():
     assert Radii().tag == "j150-i100-v50" and len(sweep.settings()) == 9 and len({r.tag for _, r in sweep.settings()}) == 7
     runs = []
