@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of one BIGINT key that may be broadcast; about 16 bytes a row once hashed.
 MAX_BROADCAST_KEYS = 500_000
+#: Bytes of a table that may be broadcast, as far as its texts are counted.
+MAX_BROADCAST_BYTES = 64 << 20
+#: Rows of one key from which a join deals them to several tasks, and tasks at most.
+HOT_ROWS, MOST_SALTS = 1000, 256
 #: ASCII white space of the words in the contracts, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -68,6 +72,26 @@ def keep_or_drop(df: DataFrame, key: str, keys: DataFrame, how: str, max_broadca
     return df.join(F.broadcast(keys) if small else keys, key, how)
 
 
+def small_enough(df: DataFrame, texts: Column | None = None) -> bool:
+    """Whether ``df`` may be broadcast: its rows and the bytes of ``texts``, both counted."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(texts if texts is not None else F.lit(0)), F.lit(0))).first()
+    return n <= MAX_BROADCAST_KEYS and size <= MAX_BROADCAST_BYTES
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows: str = "n") -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has each key once and in column ``rows`` how many rows of ``big`` have it.
+
+    Keys of more than HOT_ROWS rows, at most a thousandth as many as there are rows, are dealt to several tasks by the
+    hash of column ``by``; their rows of ``small`` are repeated for each.
+    """
+    salts = F.least(F.lit(MOST_SALTS), F.ceil(F.col(rows) / F.lit(HOT_ROWS)).cast("int"))
+    hot = small.where(F.col(rows) > HOT_ROWS).select(*keys, salts.alias("_salts"))
+    hot = F.broadcast(hot) if small_enough(hot) else hot
+    left = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"))).drop("_salts")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > HOT_ROWS, salts).otherwise(F.lit(1)) - 1))).drop(rows)
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from segrank.llm.common import MAX_BROADCAST_KEYS, ascii_lower, keep_or_drop, materialize, require
+from segrank.llm.common import ascii_lower, keep_or_drop, materialize, require, small_enough
 
 #: What stands between words: ASCII but for digits and letters, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,13 +73,13 @@ def _bitmap(grams: DataFrame, bits: int) -> str:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """_rid, id, n_words, hits ARRAY<STRUCT<pos, length>>, items: one row for each row of ``docs``; pos counts words from 0."""
+    """_rid, _id, _tk (hash of the text), n_words, hits ARRAY<STRUCT<pos, length>>, items: one row for each row of ``docs``; pos counts words from 0."""
     require(docs, id_col, text_col)
     found = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "grams")
     n, lengths = found.count(), sorted(r[0] for r in found.select("length").distinct().collect())
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
+    base = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tk"), words_of(F.col(text_col)).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
     if not n:
-        return base.select("_rid", "_id", "n_words", F.lit(None).cast("array<struct<pos:int,length:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
+        return base.select("_rid", "_id", "_tk", "n_words", F.lit(None).cast("array<struct<pos:int,length:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     hashed = None
     for length in lengths:
         part = with_window_hashes(found.where(F.col("length") == length), "_w", [length])
@@ -101,18 +101,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for length in lengths:
         rows = rows.withColumn(f"_c{length}", F.filter(F.transform(f"_h{length}", lambda h, i: F.when(possible(h), i)), lambda i: i.isNotNull())).drop(f"_h{length}")
         places.append(placed(length))
-    rows = rows.withColumn("_c", F.concat(*places)).select("_rid", "_id", "n_words", F.explode_outer("_c").alias("_c"))
-    rows = rows.select("_rid", "_id", "n_words", "_c.pos", "_c.length", "_c.gram")
+    rows = rows.withColumn("_c", F.concat(*places)).select("_rid", "_id", "_tk", "n_words", F.explode_outer("_c").alias("_c"))
+    # texts without a possible hit, most of all, get a key of their own that no window has
+    rows = rows.select("_rid", "_id", "_tk", "n_words", "_c.pos", "_c.length", F.coalesce("_c.gram", F.concat(F.lit("\x00"), F.col("_rid").cast("string"))).alias("gram"))
     known = found.select("gram", "items")
-    rows = rows.join(F.broadcast(known) if n <= MAX_BROADCAST_KEYS else known, "gram", "left")
+    rows = rows.join(F.broadcast(known) if small_enough(known, F.octet_length("gram") + F.lit(32) * F.size("items")) else known, "gram", "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("pos", "length"))
-    return rows.groupBy("_rid", "_id", "n_words").agg(F.collect_list(hit).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).cast("array<string>").alias("items"))
+    return rows.groupBy("_rid", "_id", "_tk", "n_words").agg(F.collect_list(hit).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).cast("array<string>").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``.
 
-    Null and empty texts have no words and no hits; repeated rows get a row each; an empty benchmark hits nothing; extra columns aren't read.
+    Null and empty texts have no words and no hits; texts of any length are scanned whole; windows of several items count
+    for each; repeated rows get a row each; an empty table gives no rows, an empty benchmark hits nothing; extra columns
+    aren't read, whatever their names.
     """
     h = hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["length"] - 1))))
@@ -128,15 +131,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with hit words, and what follows each up to the next word, cut out of the text. Ids must be unique; null texts stay null."""
+    """``docs`` with hit words, and what follows each up to the next word, cut out of the text. Rows are told apart by id and text, so repeated ids do no harm; null texts stay null, other columns as they are."""
     found = hits(docs, benchmark, id_col, text_col, **how).where(F.size("hits") > 0)
-    found = found.select(F.col("_id").alias(id_col), F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["length"] - 1))).alias("_cut"))
-    found = found.groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("_cut"))).alias("_cut"))
+    found = found.select(F.col("_id").alias("_i"), "_tk", F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["length"] - 1))).alias("_cut"))
+    found = found.groupBy("_i", "_tk").agg(F.array_distinct(F.flatten(F.collect_list("_cut"))).alias("_cut"))
     word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-    head = F.regexp_extract(text_col, rf"^[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*", 0)
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"{word}+[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*"), 0)
+    head = F.regexp_extract("_text", rf"^[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*", 0)
+    pieces = F.regexp_extract_all(F.col("_text"), F.lit(rf"{word}+[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*"), 0)
     kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.array_contains("_cut", i), p)), lambda p: p.isNotNull())
-    return docs.join(found, id_col, "left").withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.concat(head, F.array_join(kept, "")))).select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    joined = whole.join(found, whole["_id"].eqNullSafe(found["_i"]) & (whole["_hash"] == found["_tk"]), "left")
+    new = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.concat(head, F.array_join(kept, "")))
+    return joined.withColumn("_new", new).select(*(F.col("_new").alias(c) if c == text_col else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle(window: int = WINDOW) -> str:

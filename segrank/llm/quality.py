@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from segrank.llm.common import MAX_BROADCAST_KEYS, materialize, require
+from segrank.llm.common import MAX_BROADCAST_KEYS, materialize, release, require
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -169,17 +169,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Cutoffs come from the good labelled documents alone (found by a broadcast of their ids; of more than
     MAX_BROADCAST_KEYS, by a join of the signals, which are narrow); one pass over the texts then filters in
-    place. No text is shuffled or written. Rows are treated as in judge().
+    place. No text is shuffled or written; signals of the labelled documents are, to the shared folder. Rows are treated as in judge().
     """
     require(docs, id_col, text_col, stratum_col)
     require(labels, id_col, "quality")
     good = good_ids(labels, id_col)
     named = _named(docs, id_col, text_col, stratum_col)
-    if good.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
-        held = signals(named.join(F.broadcast(good), "_q_id", "left_semi"), "_q_text").drop("_q_text")
-    else:
-        held = signals(named, "_q_text").drop("_q_text").join(good, "_q_id", "left_semi")
-    cutoffs = choose_cutoffs(holdout_counts(with_rates(held)), risk, error)
+    few = good.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    # written, because a filter on them would copy the signals' expressions, over and over
+    held = materialize(signals(named.join(F.broadcast(good), "_q_id", "left_semi") if few else named, "_q_text").drop("_q_text"), "signals")
+    cutoffs = choose_cutoffs(holdout_counts(with_rates(held if few else held.join(good, "_q_id", "left_semi"))), risk, error)
+    release(held)
     # the row number keeps the optimizer from copying the signals' expressions into the filter, over and over
     whole = _named(docs, id_col, text_col, stratum_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_whole"))
     rated = with_rates(signals(whole, "_q_text")).withColumn("_q_row", F.monotonically_increasing_id())

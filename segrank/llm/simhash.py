@@ -20,9 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
-
-from segrank.llm.common import arrow_rows, materialize, release, require
+from segrank.llm.common import arrow_rows, materialize, release, require, small_enough, spread_join
 
 WORDS, MAX_BITS, PIVOTS = 4, 4, 32
 #: Fingerprints of one block that one task compares with each other; larger blocks are cut.
@@ -180,9 +178,11 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, ch
     wide = (pivots + 7) // 8
     agree = blocks_for(classes.count(), max_bits) if agree is None else agree
     rows = block_keys(distance_table(classes, pivots), agree, max_bits)
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("combo", "key"))).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # blocks are counted before their rows meet; the few large ones are known to every task
+    large = rows.groupBy("combo", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("parts")).where("parts > 1")
+    large = materialize(large, "large")
+    rows = rows.join(F.broadcast(large) if small_enough(large) else large, ["combo", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("combo", "key", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "chunk", "fp", *(f"d{k}" for k in range(wide)))
     rows = rows.repartition("combo", "key", "lo", "hi").sortWithinPartitions("combo", "key", "lo", "hi")
@@ -217,15 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, fingerprint (16 hex digits), component_id: the smallest id that links of ``max_bits`` or fewer differing bits reach.
 
     Null, empty and blank texts have fingerprint zero and are linked like others. A null id is never
-    the smallest, but its row is kept and linked; repeated rows are kept each. Extra columns aren't read.
+    the smallest, but its row is kept and linked; repeated rows are kept each; an empty table gives no rows; texts of any
+    length are read whole; extra columns aren't read, whatever their names.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "id"), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     found = components(links(classes.select("fp"), max_bits, pivots, chunk, agree))
     smallest = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     named = found.join(smallest, "root").select("node", "least")
-    whole = classes.join(named, classes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    out = fps.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    whole = classes.join(named, classes["fp"] == named["node"], "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    out = spread_join(fps, whole, ["fp"], "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out
 
 

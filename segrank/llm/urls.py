@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from segrank.llm.common import MAX_BROADCAST_KEYS, ascii_lower, require
+from segrank.llm.common import ascii_lower, require, small_enough
 
 #: The rules of the contract, as (rule, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Filter bits for each listed rule, and 64-bit blocks at most (8 MB).
 BITS_PER_RULE, MOST_BLOCKS = 16, 1 << 20
+#: Possible hits of one URL up to which they are looked up one after another in its row.
+MOST_LOOKUPS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -60,12 +62,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ``rules``: rule, verdict. A rule fits its host and all subdomains if the path starts with the rule's; the
     longest rule wins, of equally long ones the longer host, then the last in order; of a rule listed twice,
     block wins. URLs that no rule fits get ``default``. Null URLs and such without :// have empty host and path.
-    Repeated rows get a row each; an empty list leaves the default; extra columns aren't read.
+    Repeated rows get a row each; an empty list leaves the default, an empty table gives no rows; URLs of any length are
+    read whole; extra columns aren't read, whatever their names. A rule without a slash is an error.
+
+    A list that may be broadcast is looked up in the rows, the longest possible hit first, so pages aren't shuffled; else
+    possible hits are joined with the list by a shuffle, once for each distinct host and path.
     """
     require(pages, id_col, url_col)
     require(rules, "rule", "verdict")
     slash = F.instr("rule", "/")
-    known = rules.where((F.col("rule") != "") & (slash > 0)).groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    if bad := [r[0] for r in rules.where(F.col("rule").isNull() | (slash == 0)).limit(5).collect()]:
+        raise ValueError(f"rules without a slash: {bad}")
+    known = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
     n = known.count()
     rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not n:
@@ -76,13 +84,26 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     def possible(key: Column) -> Column:
         return F.get(words, _block(key, blocks)).bitwiseAND(_mask(key)) == _mask(key)
 
-    urls = rows.select("host", "path").distinct()
-    labels = urls.withColumn("_l", F.split("host", r"\."))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("_l")), lambda i: F.array_join(F.slice("_l", i, F.size("_l")), "."))
-    tries = labels.withColumn("_s", suffixes).withColumn("_p", F.filter(F.array(*(F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths)), lambda p: p.isNotNull()))
-    tries = tries.withColumn("_k", F.flatten(F.transform("_s", lambda s: F.transform("_p", lambda p: F.concat(s, p)))))
-    tries = tries.select("host", "path", F.explode(F.filter("_k", possible)).alias("rule"))
-    hit = tries.join(F.broadcast(known) if n <= MAX_BROADCAST_KEYS else known, "rule")
+    def with_tries(urls: DataFrame) -> DataFrame:
+        """Adds _k: the possible hits, best first."""
+        suffixes = F.transform(F.sequence(F.lit(1), F.size("_l")), lambda i: F.array_join(F.slice("_l", i, F.size("_l")), "."))
+        urls = urls.withColumn("_l", F.split("host", r"\.")).withColumn("_s", suffixes).withColumn("_p", F.filter(F.array(*(F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths)), lambda p: p.isNotNull()))
+        urls = urls.withColumn("_k", F.filter(F.flatten(F.transform("_s", lambda s: F.transform("_p", lambda p: F.concat(s, p)))), possible))
+        ordered = F.sort_array(F.transform("_k", lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("k"))), False)
+        return urls.withColumn("_k", F.when(F.size("_k") > 1, F.transform(ordered, lambda x: x["k"])).otherwise(F.col("_k"))).drop("_l", "_s", "_p")
+
+    if small_enough(known, F.octet_length("rule")):
+        tried = with_tries(rows)
+        most = tried.agg(F.max(F.size("_k"))).first()[0] or 0
+        if most <= MOST_LOOKUPS:
+            for i in range(most):  # the first that is listed wins; all but the first matter for false positives alone
+                one = F.broadcast(known.select(F.col("rule").alias(f"_r{i}"), F.col("verdict").alias(f"_v{i}")))
+                tried = tried.join(one, F.get("_k", F.lit(i)) == F.col(f"_r{i}"), "left")
+            first = lambda c, *end: F.coalesce(*(F.col(f"{c}{i}") for i in range(most)), *end)
+            rule = first("_r") if most else F.lit(None).cast("string")
+            return tried.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), first("_v", F.lit(default)).alias("verdict"))
+    tries = with_tries(rows.select("host", "path").distinct()).select("host", "path", F.explode("_k").alias("rule"))
+    hit = tries.join(known, "rule")
     order = F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("h"), F.col("rule"))
     best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("_b"))
     out = rows.join(best, ["host", "path"], "left")

@@ -17,17 +17,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from segrank.llm.common import MAX_BROADCAST_KEYS, materialize, new_path, require
+from segrank.llm.common import materialize, new_path, require, small_enough, spread_join
 
 #: Bytes after which a new archive begins; of a range that one task reads; of one read; and of a gap that is read rather than skipped.
-ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES, GAP_BYTES = 1 << 30, 32 << 20, 4 << 20, 64 << 10
+ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES, GAP_BYTES = 1 << 30, 8 << 20, 4 << 20, 64 << 10
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "id string, file string, offset long, length long, url string, digest string, record_type string"
 
 
 def open_file(uri: str, mode: str):
-    """A binary file by URI: local ones directly, others through Arrow's file systems."""
+    """A binary file by URI: paths without a scheme and file: ones directly, others through Arrow's file systems (s3, gs, hdfs); s3a is read as s3."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     if "://" not in uri or uri.startswith("file:"):
         path = re.sub(r"^file:/+", "/", uri)
         if "w" in mode:
@@ -72,8 +73,8 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> Da
     """_id, _sha, first: pages whose payload, of ``min_bytes`` or more, a page of a smaller id has too."""
     page = F.coalesce(F.col(html_col), F.lit(""))
     seen = materialize(pages.select(F.col(id_col).alias("_id"), F.sha1(page).alias("_sha"), F.octet_length(page).alias("_n")), "digests")
-    many = seen.where(F.col("_n") >= min_bytes).groupBy("_sha", "_n").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return materialize(seen.join(many, ["_sha", "_n"]).where("_id > first or (_id is null and first is not null)").select("_id", "_sha", "first").distinct(), "revisits")
+    many = seen.where(F.col("_n") >= min_bytes).groupBy("_sha", "_n").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(spread_join(seen, many, ["_sha", "_n"], "_id").where("_id > first or (_id is null and first is not null)").select("_id", "_sha", "first").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -87,11 +88,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     require(pages, id_col, url_col, html_col)
     again = revisits(pages, id_col, html_col, min_bytes)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    n = again.limit(MAX_BROADCAST_KEYS + 1).count()
-    if n:
+    if again.limit(1).count():
         known = again.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s"), "first")
         on = rows["_id"].eqNullSafe(F.col("_i")) & (F.sha1(F.coalesce("_html", F.lit(""))) == F.col("_s"))
-        rows = rows.join(F.broadcast(known) if n <= MAX_BROADCAST_KEYS else known, on, "left")
+        rows = rows.join(F.broadcast(known) if small_enough(known, F.lit(64)) else known, on, "left")
     else:
         rows = rows.withColumn("first", F.lit(None).cast("string"))
     rows = rows.select(F.col("_id").cast("string"), "_url", "_html", F.col("first").cast("string"))
@@ -151,7 +151,8 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][: len(names)]
     part = F.expr(f"offset div {SPLIT_BYTES}")
-    places = index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0  # tasks follow the bytes of the records, not those of the index
+    places = index.select("file", "offset", "length").repartition(int(size // SPLIT_BYTES) + 1, "file", part).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -187,7 +188,11 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write archives into the shared folder and read every record back: id, payload_bytes, payload_digest, record_type, refers_to, one row for each row of ``pages``."""
+    """Write archives into the shared folder and read every record back: id, payload_bytes, payload_digest, record_type, refers_to, one row for each row of ``pages``.
+
+    An empty table gives no rows; null and empty pages are empty payloads; pages of any length are one record each; extra
+    columns aren't read, whatever their names. See write_archives() for ties, repeated rows and null ids.
+    """
     index = write_archives(pages, new_path(pages.sparkSession, "warc"), id_col, url_col, html_col, min_bytes)
     kind = pages.schema[id_col].dataType
     out = read_records(index)

@@ -68,6 +68,46 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0), urls.listed(spark)).count() == 0
 
 
+def test_url_rules_by_lookup_and_by_join(spark, monkeypatch):
+    r = random.Random(14)
+    part = lambda: r.choice("ab")
+    rules = sorted({".".join(part() for _ in range(r.randrange(1, 4))) + "/" + "".join(part() for _ in range(r.randrange(0, 3))) for _ in range(40)})
+    listed = urls.listed(spark, [(x, r.choice(["allow", "block"])) for x in rules])
+    pages = spark.createDataFrame([(i, "http://" + ".".join(part() for _ in range(r.randrange(1, 5))) + "/" + "".join(part() for _ in range(r.randrange(0, 4)))) for i in range(300)], "page_id long, url string")
+    df = urls.judge_urls(pages, listed)
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString() and "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    looked = sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(urls, "small_enough", lambda *a: False)
+    assert sorted(map(tuple, urls.judge_urls(pages, listed).collect())) == looked
+    verdicts = {x["rule"]: x["verdict"] for x in listed.collect()}
+    for i, host, path, rule, verdict in looked:
+        fits = [x for x in rules if (host == (h := x.split("/")[0]) or host.endswith("." + h)) and path.startswith(x[len(h) :])]
+        assert rule == (max(fits, key=lambda x: (len(x), x.index("/"), x)) if fits else None) and verdict == verdicts.get(rule, "allow")
+    with pytest.raises(ValueError):
+        urls.judge_urls(pages, urls.listed(spark, [("com", "block")]))
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from segrank.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    big = spark.range(500).selectExpr("id", "if(id % 3 = 0, 7, id) AS k")
+    small = big.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 AS v")
+    got = common.spread_join(big, small, ["k"], "id")
+    assert sorted(map(tuple, got.select("id", "v").collect())) == [(i, 14 if i % 3 == 0 else 2 * i) for i in range(500)] and got.columns == ["k", "id", "v"]
+
+
+def test_pivots_discard_most_pairs():
+    """Of random fingerprints that share a block of 12 bits, coordinates leave few of the pairs that are beyond four bits."""
+    import numpy as np
+
+    fps = np.random.default_rng(3).integers(0, 2**52, 600, dtype=np.uint64)
+    table = np.array([[int(f ^ np.uint64(p & (2**64 - 1))).bit_count() for p in simhash.references()] for f in fps], dtype=np.int16)
+    i, j = np.triu_indices(len(fps), 1)
+    left = (np.abs(table[i] - table[j]).max(axis=1) <= simhash.MAX_BITS).sum()
+    assert left / len(i) < 0.02, left / len(i)
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(BPE)
@@ -274,6 +314,12 @@ def test_decontamination(spark):
     kept = {x["doc_id"] for x in decontaminate.drop_contaminated(frame(spark, texts), bench).collect()}
     assert kept == {i for i, v in got.items() if not v[4]}
     assert {x["doc_id"]: x["text"] for x in decontaminate.remove_spans(frame(spark, texts), bench).collect()}[3] == "see here"
+    twice = spark.createDataFrame([(5, "see two-words, here", "x"), (5, "a b c", "y"), (None, "two words too", "z")], "doc_id long, text string, _cut string")
+    assert sorted(tuple(x)[1:] for x in decontaminate.remove_spans(twice, bench).collect()) == [("a b c", "y"), ("see here", "x"), ("too", "z")]
+    decontaminate_joined = pytest.MonkeyPatch()
+    decontaminate_joined.setattr(decontaminate, "small_enough", lambda *a: False)  # a list too large to broadcast
+    assert {x["doc_id"]: tuple(x)[1:] for x in decontaminate.contamination(frame(spark, texts), bench).collect()} == got
+    decontaminate_joined.undo()
 
 
 def test_token_counts(spark):
