@@ -1,7 +1,10 @@
 """Corpus pipeline: quality rules, near-dedup, decontamination, personal data, tokens.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and all but the last
-return the columns of documents.
+return the columns of documents.  Extra columns of the input go, whatever their names.  An empty table
+passes all stages as one.  Null and empty texts and those of fewer than 50 words go in the first stage;
+texts of any length are read whole.  Rows without an id are judged but never linked, and rows that repeat
+an id share the fate of that id in near_dedup and decontamination; of equal texts the smallest id stays.
 """
 
 from __future__ import annotations
@@ -61,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what is between them is written to the shared folder."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        common.release(before)  # nothing reads it any more; the table of documents itself is not one of ours
     return STAGES[-1][1](spark, docs, sf_dir)
