@@ -27,6 +27,8 @@ WINDOW = 13
 SHARD_WORDS, SEEN = 60_000, 400_000
 #: Bytes of runs that a task holds before it packs them; input bytes of a shard, more for more input, between these; shards at least.
 PACK_BYTES, LEAST_SHARD, MOST_SHARD, LEAST_SHARDS = 32 << 20, 8 << 20, 64 << 20, 24
+#: Tasks that search at most; beyond as many shards a task takes several, one after the other.
+MOST_TASKS = 1 << 16
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -333,7 +335,10 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc, tk, cuts ARRAY<STRUCT<at, stop>>: word intervals covered by windows that start in a smaller document too."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     shards = shards_for(docs)
-    blocks = rows.mapInArrow(lambda b: _cut(b, window, shards), "shard int, block binary").repartition("shard").sortWithinPartitions("shard")
+    tasks = min(shards, MOST_TASKS)
+    blocks = rows.mapInArrow(lambda b: _cut(b, window, shards), "shard int, block binary")
+    # by number, not by hash: no two shards meet in a task by chance, and tasks grow in number with the input
+    blocks = blocks.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard")
     found = blocks.mapInArrow(lambda b: _search(b, window), "doc long, tk long, at int, stop int")
     return found.groupBy("doc", "tk").agg(F.collect_list(F.struct("at", "stop")).alias("cuts"))
 
