@@ -27,7 +27,7 @@ WINDOW = 13
 SHARD_WORDS, SEEN = 60_000, 400_000
 #: Bytes of runs that a task holds before it packs them; input bytes of a shard, more for more input, between these; shards at least.
 PACK_BYTES, LEAST_SHARD, MOST_SHARD, LEAST_SHARDS = 32 << 20, 8 << 20, 64 << 20, 24
-#: Tasks that search at most; beyond as many shards a task takes several, one after the other.
+#: Tasks that search, at most; of more shards a task takes several, one after the other.
 MOST_TASKS = 1 << 16
 
 
@@ -323,19 +323,22 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield batch()
 
 
-def shards_for(docs: DataFrame) -> int:
-    """Shards by the planner's estimate of the input's bytes; any number gives the same result."""
+def shards_for(docs: DataFrame) -> tuple[int, int]:
+    """Shards, and tasks to deal them to, by the planner's estimate of the input's bytes; any numbers give the same result.
+
+    Without an estimate there are as many tasks as the session has shuffle partitions. Estimates of joins can be far too large: write such inputs first.
+    """
     size = float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 1e17:  # the planner doesn't know
-        return 4096
-    return int(min(1 << 22, max(LEAST_SHARDS, size / min(MOST_SHARD, max(LEAST_SHARD, size / 2000)))))
+        return 4096, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(min(1 << 22, max(LEAST_SHARDS, size / min(MOST_SHARD, max(LEAST_SHARD, size / 2000)))))
+    return shards, min(shards, MOST_TASKS)
 
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc, tk, cuts ARRAY<STRUCT<at, stop>>: word intervals covered by windows that start in a smaller document too."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    shards = shards_for(docs)
-    tasks = min(shards, MOST_TASKS)
+    shards, tasks = shards_for(docs)
     blocks = rows.mapInArrow(lambda b: _cut(b, window, shards), "shard int, block binary")
     # by number, not by hash: no two shards meet in a task by chance, and tasks grow in number with the input
     blocks = blocks.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard")
