@@ -17,7 +17,8 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -127,20 +128,10 @@ class Encoder:
         ids = [self.first[b] for b in data]
         get, none = self.merge.get, 1 << 60
         found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        if len(found) > 64:
+            return self._merged_long(ids, found)
         while found and (best := min(found)) != none:
-            new, i, n = best & 0xFFFFF, found.index(best), len(ids)
-            if len(found) > 64:  # long windows: all places of this merge in one pass
-                out, i = [], 0
-                while i < n:
-                    if i < n - 1 and found[i] == best:
-                        out.append(new)
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
-                found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-                continue
+            new, i = best & 0xFFFFF, found.index(best)
             ids[i : i + 2] = [new]
             del found[i]
             if i:
@@ -149,6 +140,29 @@ class Encoder:
                 found[i] = get(new << 20 | ids[i + 1], none)
         return ids
 
+    def _merged_long(self, ids: list[int], found: list[int]) -> list[int]:
+        """The same with a heap of (merge, place) over linked places, so that a window costs n log n."""
+        get, none, n = self.merge.get, 1 << 60, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [m << 20 | i for i, m in enumerate(found) if m != none]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            best, i = top >> 20, top & 0xFFFFF
+            j = after[i]
+            if ids[i] < 0 or j == n or get(ids[i] << 20 | ids[j]) != best:
+                continue  # a neighbour was taken in the meantime
+            ids[i], ids[j] = best & 0xFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (m := get(ids[i] << 20 | ids[k])) is not None:
+                    heappush(heap, m << 20 | i)
+            h = before[i]
+            if h >= 0 and (m := get(ids[h] << 20 | ids[i])) is not None:
+                heappush(heap, m << 20 | h)
+        return [i for i in ids if i >= 0]
+
     def transduce(self, parts: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one pre-token that arrives in parts; holds ``window`` + ``lookahead`` + one part at most."""
         held, full = b"", self.window + self.lookahead
@@ -179,15 +193,27 @@ class Encoder:
         yield from self._plain(text, at, len(text))
 
     def _plain(self, text: str, at: int, end: int) -> Iterator[list[int]]:
-        held = ""
         while at < end:
-            step = max(CHUNK, len(held))
-            held += text[at : min(end, at + step)]
-            at += step
+            held = text[at : min(end, at + CHUNK)]
+            last = at + CHUNK >= end
             pieces = (self.pattern if self.double.search(held) else self.chunk).findall(held)
-            keep = 2 if at < end else 0  # an apostrophe and its letters, or a run that goes on
-            held = "".join(pieces[len(pieces) - keep :]) if keep else ""
-            yield list(chain.from_iterable(map(self.pieces.__getitem__, pieces[: len(pieces) - keep])))
+            if not last and len(pieces) < 3:
+                pieces = self.pattern.findall(held)
+                if len(pieces) < 3:  # a pre-token that fills the chunk: it goes through the transducer part by part
+                    stop = self.pattern.match(text, at, end).end()
+                    yield from self._long(text, at, stop)
+                    at = stop
+                    continue
+            if not last:  # the last two may go on: a run, or an apostrophe and its letters
+                at -= len(pieces.pop()) + len(pieces.pop())
+            at += len(held)
+            yield list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+
+    def _long(self, text: str, at: int, end: int) -> Iterator[list[int]]:
+        """Ids of one pre-token in blocks, whatever its length."""
+        ids = map(self.same.__getitem__, self.transduce(text[i : min(end, i + CHUNK)].encode("utf-8") for i in range(at, end, CHUNK)))
+        while block := list(islice(ids, CHUNK)):
+            yield block
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.blocks(text)))

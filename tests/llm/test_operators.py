@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import pytest
 import xxhash
@@ -133,6 +134,21 @@ def test_bpe_equals_the_library(spark):
     assert back == {0: "", 1: "", 2: "round trip é"} and bpe.token_digests(docs.limit(0), BPE).count() == 0
 
 
+def test_bpe_holds_long_pre_tokens_in_parts():
+    tokenizers = pytest.importorskip("tokenizers")
+    t, e, r = tokenizers.Tokenizer.from_file(BPE), bpe.Encoder(BPE), random.Random(3)
+    for s in ("a" * 150_000 + "'s", " " * 140_000 + "x", "-=" * 80_000, "".join(r.choices("thequickbrown", k=150_000)), "x\t" * 40_000 + "y" * 80_000, "".join(r.choices("ab12", k=90_000))):
+        assert e.encode(s) == t.encode(s, add_special_tokens=False).ids
+    peaks = []
+    for n in (150_000, 600_000):  # one run of letters: what is held doesn't grow with it
+        s = "".join(r.choices("thequickbrown", k=n))
+        tracemalloc.start()
+        e.digest(s)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+
+
 def plain_pii(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0
