@@ -71,9 +71,13 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def pack(columns: list[list[int]], seqs: list[bytes] | None) -> bytes:
-    """doc, tk, at, stop and, for runs to be compared, half of the key's bits and the words; of words none holds a line end."""
+    """doc, tk, at, stop and, for runs to be compared, half of the key's bits and the words; of words none holds a line end.
+
+    Documents are written as differences and ends as lengths, which compress to less.
+    """
     doc, tk, at, stop, *m = columns
-    parts = [np.array([len(doc), seqs is not None], np.int64), np.array(doc, np.int64), np.array(tk, np.int64), np.array(at, np.int32), np.array(stop, np.int32)]
+    starts = np.array(at, np.int32)
+    parts = [np.array([len(doc), seqs is not None], np.int64), np.diff(np.array(doc, np.int64), prepend=0), np.array(tk, np.int64), starts, np.array(stop, np.int32) - starts]
     if seqs is not None:
         parts.append(np.array(m[0], np.uint32))
     return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in parts) + (b"\n".join(seqs) if seqs is not None else b""))
@@ -86,6 +90,7 @@ def unpack(block: bytes) -> tuple[list[np.ndarray], list[bytes] | None]:
     for kind in (np.int64, np.int64, np.int32, np.int32, *([np.uint32] if full else [])):
         columns.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
+    columns[0], columns[3] = np.cumsum(columns[0]), columns[2] + columns[3]
     return columns, data[at:].split(b"\n") if full else None
 
 
