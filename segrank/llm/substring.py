@@ -197,6 +197,25 @@ class FMIndex:
         return self.count[symbols] + self.bwt.rank(symbols, low), self.count[symbols] + self.bwt.rank(symbols, high)
 
 
+def matching_statistics(fm: FMIndex, stream: np.ndarray, ends: np.ndarray, depth: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words of ``stream`` up to each end, ``depth`` at most, the index holds in more than ``least`` places.
+
+    All ends are searched backward together, and each drops out where its match ends. With the
+    statistics come the suffix intervals (low, high) of the ends that reach ``depth``, in their order.
+    """
+    reached, alive = np.zeros(len(ends), np.int64), np.arange(len(ends))
+    c = stream[ends]
+    low, high = fm.count[c], fm.count[c + 1]
+    for n in range(1, depth + 1):
+        ok = high - low > least
+        alive, low, high = alive[ok], low[ok], high[ok]
+        reached[alive] = n
+        if n == depth or not len(alive):
+            break
+        low, high = fm.extend(stream[ends[alive] - n], low, high)
+    return reached, low, high
+
+
 def repeats(runs: list[tuple[int, list[bytes]]], window: int, index_of: list[int] | None = None) -> list[np.ndarray]:
     """For each run (doc, words): the window starts whose words also start in a smaller document of the indexed runs.
 
@@ -217,17 +236,8 @@ def repeats(runs: list[tuple[int, list[bytes]]], window: int, index_of: list[int
     local = np.arange(len(which)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     place, own = offsets[which] + local, np.array([d for d, _ in runs])[which]
     least = 1 if index_of is None else 0  # an interval that holds the window itself only
-    alive = np.arange(len(which))
-    c = stream[place + window - 1]
-    low, high = fm.count[c], fm.count[c + 1]
-    for j in range(window - 2, -1, -1):
-        ok = high - low > least
-        alive, low, high = alive[ok], low[ok], high[ok]
-        if not len(alive):
-            break
-        low, high = fm.extend(stream[place[alive] + j], low, high)
-    ok = high - low > least
-    alive, low, high = alive[ok], low[ok], high[ok]
+    reached, low, high = matching_statistics(fm, stream, place + window - 1, window, least)
+    alive = np.flatnonzero(reached == window)
     hit = np.zeros(len(which), bool)
     if len(alive):
         lows, back = np.unique(low, return_inverse=True)  # at full depth an interval is known by its beginning

@@ -7,6 +7,7 @@ import random
 import re
 import tracemalloc
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -100,7 +101,6 @@ def test_hot_keys_are_spread(spark, monkeypatch):
 
 def test_pivots_discard_most_pairs():
     """Of random fingerprints that share a block of 12 bits, coordinates leave few of the pairs that are beyond four bits."""
-    import numpy as np
 
     fps = np.random.default_rng(3).integers(0, 2**52, 600, dtype=np.uint64)
     table = np.array([[int(f ^ np.uint64(p & (2**64 - 1))).bit_count() for p in simhash.references()] for f in fps], dtype=np.int16)
@@ -274,6 +274,20 @@ def test_fm_index_counts():
     assert [x.tolist() for x in sub] == [[k for k in range(len(w) - 3) if any(o < d and tuple(w[k : k + 4]) in zip(x, x[1:], x[2:], x[3:]) for o, x in runs[:6])] for d, w in runs]
 
 
+def test_matching_statistics_against_plain_search():
+    r = random.Random(7)
+    text, stream = (np.array([r.randrange(1, 4) for _ in range(n)]) for n in (60, 200))
+    text[25] = 0
+    text[-1] = 0
+    ends = np.arange(9, 200)
+    for least in (0, 1):
+        places = lambda e, n: sum((text[k : k + n] == stream[e - n + 1 : e + 1]).all() for k in range(60 - n + 1))
+        want = [max([n for n in range(1, 7) if places(e, n) > least], default=0) for e in ends]
+        got, low, high = substring.matching_statistics(substring.FMIndex(text, 4, 6), stream, ends, 6, least)
+        assert got.tolist() == want and (high - low).tolist() == [places(e, 6) for e, n in zip(ends, want, strict=True) if n == 6]
+        assert len(set(want)) > 2
+
+
 def test_warc_roundtrip(spark):
     rows = [(1, "u", "<a>"), (2, None, "<a>"), (3, "x\r\ny", "é"), (None, "u", "<a>"), (4, "q", None), (5, "q", ""), (1, "u", "<a>"), (None, "z", "only")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
@@ -486,7 +500,6 @@ def test_rungs_are_tested_in_order(spark):
 
 def test_promises_are_kept_in_simulation():
     """Strata whose true rates of false rejection lie around the risk: the promise breaks in few of many holdouts."""
-    import numpy as np
 
     r, risk, error, broken, trials = np.random.default_rng(5), 0.05, 0.05, 0, 4000
     for _ in range(trials):
