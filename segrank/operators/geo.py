@@ -1,7 +1,7 @@
 """Geometry as plain columns, and spatial joins by grid cells.
 
-A point is x, y; a line is ARRAY<STRUCT<x, y>>.  A join within a distance puts both sides into cells
-as wide as the distance, so it is an equi-join that shuffles by cell, with an exact test behind it.
+A point is x, y; a line is ARRAY<STRUCT<x, y>>.  A join within a distance puts both sides into cells,
+so it is an equi-join that shuffles by cell, with an exact test behind it.
 """
 
 from __future__ import annotations
@@ -115,28 +115,38 @@ def _cell(c: Column, size: float) -> Column:
 
 
 def _cells(rows: DataFrame, size: float, around: float) -> DataFrame:
-    """Adds cx, cy of every cell that the piece, cut into parts no longer than a cell and widened by ``around``, may touch.
+    """Adds cx, cy of every cell that the piece, cut into parts no longer than two cells and widened by ``around``, may touch, each once.
 
     Long pieces are cut first, so that a diagonal doesn't fill its whole bounding box.
     """
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / F.lit(2 * size))).cast("int")
-    rows = rows.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    part = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (F.col("_i") + k) / F.col("_n")
-    low = lambda a, b: _cell(F.least(part(a, b, 0), part(a, b, 1)) - around, size)
-    high = lambda a, b: _cell(F.greatest(part(a, b, 0), part(a, b, 1)) + around, size)
-    rows = rows.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx"))))
-    return rows.withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by")))).drop("_n", "_i")
+    part = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
+    low = lambda a, b, i: _cell(F.least(part(a, b, i), part(a, b, i + 1)) - around, size)
+    high = lambda a, b, i: _cell(F.greatest(part(a, b, i), part(a, b, i + 1)) + around, size)
+    box = lambda i: F.flatten(F.transform(F.sequence(low("ax", "bx", i), high("ax", "bx", i)), lambda cx: F.transform(F.sequence(low("ay", "by", i), high("ay", "by", i)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    at = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), box)))
+    rows = rows.withColumn("_n", n).withColumn("_at", F.explode(at))
+    return rows.withColumns({"cx": F.col("_at.cx"), "cy": F.col("_at.cy")}).drop("_n", "_at")
 
 
-def near_points(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str = "path", x: str = "x", y: str = "y") -> DataFrame:
-    """point_id, unit_id, distance of all pairs within ``radius``, each once."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by cell to a fixed number of tasks: few bytes can be much work here, and AQE would merge them into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+
+
+def _candidates(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str, x: str, y: str) -> DataFrame:
+    """point_id, unit_id, distance within ``radius``, a row for each piece."""
     if radius <= 0:
         raise SpatialJoinError("a radius must be positive")
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"), _cell(F.col(x), radius).alias("cx"), _cell(F.col(y), radius).alias("cy"))
-    right = _cells(pieces(lines, path, unit_id), radius, radius).distinct()
+    right = _cells(pieces(lines, path, unit_id), radius, radius)
     d = point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
-    found = left.join(right, ["cx", "cy"]).select(point_id, unit_id, d.alias("distance")).where(F.col("distance") <= radius)
-    return found.groupBy(point_id, unit_id).agg(F.min("distance").alias("distance"))
+    return left.join(right, ["cx", "cy"]).select(point_id, unit_id, d.alias("distance")).where(F.col("distance") <= radius)
+
+
+def near_points(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str = "path", x: str = "x", y: str = "y") -> DataFrame:
+    """point_id, unit_id, distance of all pairs within ``radius``, each once."""
+    return _candidates(points, lines, radius, point_id, unit_id, path, x, y).groupBy(point_id, unit_id).agg(F.min("distance").alias("distance"))
 
 
 def nearest_within(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str = "path", x: str = "x", y: str = "y") -> DataFrame:
@@ -145,15 +155,36 @@ def nearest_within(points: DataFrame, lines: DataFrame, radius: float, point_id:
     return best.select(point_id, F.col(f"_b.{unit_id}").alias(unit_id), F.col("_b.distance").alias("distance"))
 
 
-def lines_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_path: str = "path", right_path: str = "path") -> DataFrame:
-    """left_id, right_id of lines (or points) whose distance is ``radius`` or less: exact, with nothing buffered."""
+def _both(left: DataFrame, right: DataFrame, radius: float, size: float, left_id: str, left_path: str, right_path: str, *keep: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Pieces of both sides by cell, and the test whether two of them are within ``radius``: exact, with nothing buffered."""
     require_columns(left, [left_id, left_path], SpatialJoinError)
-    require_columns(right, [right_id, right_path], SpatialJoinError)
-    a = _cells(pieces(left, left_path, left_id), radius, 0.0).distinct()
-    b = _cells(pieces(right, right_path, right_id), radius, radius).distinct()
-    b = b.select(right_id, "cx", "cy", *(F.col(c).alias(f"r{c}") for c in ("ax", "ay", "bx", "by")))
+    require_columns(right, [right_path, *keep], SpatialJoinError)
+    a = _cells(pieces(left, left_path, left_id), size, 0.0)
+    b = _cells(pieces(right, right_path, *keep), size, radius).select(*keep, "cx", "cy", *(F.col(c).alias(f"r{c}") for c in ("ax", "ay", "bx", "by")))
     p, q, r, s = ((F.col(k + "x"), F.col(k + "y")) for k in ("a", "b", "ra", "rb"))
     side = lambda o, u, v: (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
     crossing = (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
     gap = F.least(point_segment_distance(*p, *r, *s), point_segment_distance(*q, *r, *s), point_segment_distance(*r, *p, *q), point_segment_distance(*s, *p, *q))
-    return a.join(b, ["cx", "cy"]).where(crossing | (gap <= radius)).select(left_id, right_id).distinct()
+    apart = lambda c: (F.greatest(f"a{c}", f"b{c}") + radius * 1.001 < F.least(f"ra{c}", f"rb{c}")) | (F.greatest(f"ra{c}", f"rb{c}") + radius * 1.001 < F.least(f"a{c}", f"b{c}"))
+    return _dealt(a), _dealt(b), ~apart("x") & ~apart("y") & (crossing | (gap <= radius))  # boxes are cheap and tell most pairs apart
+
+
+def lines_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_path: str = "path", right_path: str = "path") -> DataFrame:
+    """left_id, right_id of lines (or points) whose distance is ``radius`` or less."""
+    a, b, near = _both(left, right, radius, radius, left_id, left_path, right_path, right_id)
+    return a.join(b, ["cx", "cy"]).where(near).select(left_id, right_id).distinct()
+
+
+def cell_width(lines: DataFrame, radius: float, path: str = "path") -> float:
+    """Cells for searches that stop at the first hit: a quarter of a piece's average length, twice the radius at least."""
+    return max(2 * radius, (pieces(lines, path).agg(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0] or 0.0) / 4)
+
+
+def touching(left: DataFrame, right: DataFrame, radius: float, left_id: str, left_path: str = "path", right_path: str = "path", width: float | None = None) -> DataFrame:
+    """left_id of lines (or points) that have any of ``right`` within ``radius``.
+
+    A semi-join with the exact test as its condition: a piece stops at its first hit, so crowds don't make pairs.
+    """
+    a, b, near = _both(left, right, radius, width or cell_width(right, radius, right_path), left_id, left_path, right_path)
+    b = b.withColumnsRenamed({"cx": "rcx", "cy": "rcy"})
+    return a.join(b, (F.col("cx") == F.col("rcx")) & (F.col("cy") == F.col("rcy")) & near, "left_semi").select(left_id).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from segrank.config import DEFAULT_RADII, TREATMENT_DATE_COLUMNS, TREATMENT_FT
 from segrank.functions.guards import SpatialJoinError, require_columns
 from segrank.functions.scalars import instant
-from segrank.operators.geo import lines_within
+from segrank.operators.geo import cell_width, lines_within, touching
 
 
 def priority_labels(units: DataFrame, corridors: DataFrame, nodes: DataFrame, radius: float = DEFAULT_RADII.label_ft, feature_id: str = "feature_id", path: str = "path") -> tuple[DataFrame, DataFrame]:
@@ -16,13 +16,16 @@ def priority_labels(units: DataFrame, corridors: DataFrame, nodes: DataFrame, ra
     The corridor layer labels both kinds of unit, the node layer junctions only. The number of units stays.
     """
     shapes = units.select("unit_id", "unit_type", F.col(path).alias("_u"))
-    a = lines_within(shapes, corridors, radius, "unit_id", feature_id, "_u", path).withColumn("layer", F.lit("corridor"))
-    b = lines_within(shapes.where("unit_type = 'intersection'"), nodes, radius, "unit_id", feature_id, "_u", path).withColumn("layer", F.lit("intersection"))
-    pairs = a.unionByName(b)
-    flags = pairs.groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set("layer")), "+").alias("vzv_source"))
+    layers = (("corridor", corridors, shapes), ("intersection", nodes, shapes.where("unit_type = 'intersection'")))
+    labelled, matched = [], []
+    for name, features, of in layers:
+        width = cell_width(features, radius, path)
+        labelled.append(touching(of, features, radius, "unit_id", "_u", path, width).withColumn("layer", F.lit(name)))
+        matched.append(touching(features, of, radius, feature_id, path, "_u", width).select(F.lit(name).alias("layer"), feature_id))
+    flags = labelled[0].unionByName(labelled[1]).groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set("layer")), "+").alias("vzv_source"))
     out = units.join(flags, "unit_id", "left").withColumn("is_priority", F.col("vzv_source").isNotNull())
     every = corridors.select(F.lit("corridor").alias("layer"), feature_id).unionByName(nodes.select(F.lit("intersection").alias("layer"), feature_id))
-    return out, every.join(pairs.select("layer", feature_id).distinct(), ["layer", feature_id], "left_anti")
+    return out, every.join(matched[0].unionByName(matched[1]), ["layer", feature_id], "left_anti")
 
 
 def treatment_date_column(layer: DataFrame) -> str:

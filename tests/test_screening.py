@@ -402,3 +402,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windowed_counts(df, "ts", "unit_id", "v", "7 days").collect()))
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Two hundred units and features that nearly all cross, and lone ones."""
+    rng = __import__("random").Random(5)
+    shape = lambda lone: [(20000.0 * lone + rng.uniform(0, 300), rng.uniform(0, 300)), (20000.0 * lone + rng.uniform(0, 300), rng.uniform(0, 300))]
+    units = [(f"C{i}", "corridor", shape(i % 40 == 0)) for i in range(200)] + [(f"I{i}", "intersection", shape(i % 40 == 0)[:1]) for i in range(200)]
+    features = [(i, shape(1 if i % 50 == 0 else 2 if i % 50 == 1 else 0), f"{2010 + i % 7}-01-{1 + i % 28:02d}" if i % 3 else None) for i in range(200)]
+    u = spark.createDataFrame(units, "unit_id string, unit_type string, path array<struct<x:double,y:double>>")
+    f = spark.createDataFrame(features, "feature_id int, path array<struct<x:double,y:double>>, completion_date string")
+    return u.persist(), f.persist(), {tuple(r) for r in geo.lines_within(u, f, 10.0, "unit_id", "feature_id").collect()}
+
+
+def rows_made(df):
+    """The most rows that any step of the plan made."""
+    df.collect()
+    top, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        else:
+            if p.metrics().contains("numOutputRows"):
+                top = max(top, p.metrics().apply("numOutputRows").value())
+            plans.extend(p.children().apply(i) for i in range(p.children().size()))
+    return top
+
+
+def test_labels_of_a_crowd_make_no_pairs(crowd):
+    units, features, pairs = crowd
+    assert len(pairs) > 8000
+    out, _ = labels.priority_labels(units, features, features.limit(0), 10.0)
+    assert {r[0] for r in out.where("is_priority").select("unit_id").collect()} == {u for u, _ in pairs}
+    assert rows_made(out) < 8000
