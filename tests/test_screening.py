@@ -440,3 +440,10 @@ def test_labels_of_a_crowd_make_no_pairs(crowd):
     out, _ = labels.priority_labels(units, features, features.limit(0), 10.0)
     assert {r[0] for r in out.where("is_priority").select("unit_id").collect()} == {u for u, _ in pairs}
     assert rows_made(out) < 8000
+
+
+def test_unmatched_features_of_a_crowd_make_no_pairs(crowd):
+    units, features, pairs = crowd
+    _, lost = labels.priority_labels(units, features, features.limit(0), 10.0)
+    assert {tuple(r) for r in lost.collect()} == {("corridor", i) for i in set(range(200)) - {f for _, f in pairs}} != set()
+    assert rows_made(lost) < 8000
