@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from segrank.config import BOUNDS_FT, CRS_GEOGRAPHIC, CRS_PROJECTED
 from segrank.functions.guards import SpatialJoinError, require_columns, require_srid, with_srid
+from segrank.sources.work import stored
 
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 PATH = "array<struct<x:double,y:double>>"
@@ -188,3 +190,18 @@ def touching(left: DataFrame, right: DataFrame, radius: float, left_id: str, lef
     a, b, near = _both(left, right, radius, width or cell_width(right, radius, right_path), left_id, left_path, right_path)
     b = b.withColumnsRenamed({"cx": "rcx", "cy": "rcy"})
     return a.join(b, (F.col("cx") == F.col("rcx")) & (F.col("cy") == F.col("rcy")) & near, "left_semi").select(left_id).distinct()
+
+
+def least_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, value: str, left_path: str = "path", right_path: str = "path") -> DataFrame:
+    """left_id and the smallest ``value`` of those of ``right`` within ``radius``.
+
+    In each cell ``right`` is ordered by value and cut into groups, each four times as large as the one before. A piece
+    looks for its first group with a hit, stopping in each at the first, and only that group is searched whole.
+    """
+    a, b, near = _both(left, right, radius, cell_width(right, radius, right_path), left_id, left_path, right_path, value)
+    place = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(value))
+    b = stored(b.withColumn("_g", F.floor(F.log2(place) / 2).cast("int")).withColumnsRenamed({"cx": "rcx", "cy": "rcy", "_g": "_rg"}), "by_value")
+    groups = b.select(F.col("rcx").alias("cx"), F.col("rcy").alias("cy"), F.col("_rg").alias("_g")).distinct()
+    same = (F.col("cx") == F.col("rcx")) & (F.col("cy") == F.col("rcy")) & (F.col("_g") == F.col("_rg")) & near
+    first = a.join(groups, ["cx", "cy"]).join(b, same, "left_semi").groupBy(left_id, "cx", "cy", "ax", "ay", "bx", "by").agg(F.min("_g").alias("_g"))
+    return first.join(b, same).groupBy(left_id).agg(F.min(value).alias(value))

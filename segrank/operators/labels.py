@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from segrank.config import DEFAULT_RADII, TREATMENT_DATE_COLUMNS, TREATMENT_FT
 from segrank.functions.guards import SpatialJoinError, require_columns
 from segrank.functions.scalars import instant
-from segrank.operators.geo import cell_width, lines_within, touching
+from segrank.operators.geo import cell_width, least_within, touching
 
 
 def priority_labels(units: DataFrame, corridors: DataFrame, nodes: DataFrame, radius: float = DEFAULT_RADII.label_ft, feature_id: str = "feature_id", path: str = "path") -> tuple[DataFrame, DataFrame]:
@@ -38,14 +38,13 @@ def treatment_date_column(layer: DataFrame) -> str:
 def treatments(units: DataFrame, layers: list[DataFrame], radius: float = TREATMENT_FT, feature_id: str = "feature_id", path: str = "path") -> tuple[DataFrame, DataFrame]:
     """units with treated and treatment_date (the earliest of dated features of all layers), and a report of records, undated."""
     dated, counted = None, None
-    for k, layer in enumerate(layers):
+    for layer in layers:
         require_columns(layer, [feature_id, path], SpatialJoinError, "treatment layer")
-        part = layer.select(F.concat_ws(":", F.lit(k), F.col(feature_id).cast("string")).alias("_f"), F.col(path).alias("_p"), instant(treatment_date_column(layer)).alias("_d"))
+        part = layer.select(F.col(path).alias("_p"), instant(treatment_date_column(layer)).alias("_d"))
         report = part.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("_d").isNull()).alias("undated"))
         dated = part if dated is None else dated.unionByName(part)
         counted = report if counted is None else counted.unionByName(report)
     dated = dated.where(F.col("_d").isNotNull())
-    pairs = lines_within(units.select("unit_id", F.col(path).alias("_u")), dated, radius, "unit_id", "_f", "_u", "_p")
-    first = pairs.join(dated.select("_f", "_d"), "_f").groupBy("unit_id").agg(F.min("_d").alias("treatment_date"))
+    first = least_within(units.select("unit_id", F.col(path).alias("_u")), dated, radius, "unit_id", "_d", "_u", "_p").withColumnRenamed("_d", "treatment_date")
     out = units.join(first, "unit_id", "left").withColumn("treated", F.col("treatment_date").isNotNull())
     return out, counted.agg(F.sum("records").alias("records"), F.sum("undated").alias("undated"))

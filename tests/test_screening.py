@@ -447,3 +447,15 @@ def test_unmatched_features_of_a_crowd_make_no_pairs(crowd):
     _, lost = labels.priority_labels(units, features, features.limit(0), 10.0)
     assert {tuple(r) for r in lost.collect()} == {("corridor", i) for i in set(range(200)) - {f for _, f in pairs}} != set()
     assert rows_made(lost) < 8000
+
+
+def test_earliest_treatment_in_a_crowd_makes_no_pairs(crowd):
+    units, features, pairs = crowd
+    day = {r[0]: r[1] for r in features.select("feature_id", fn.instant("completion_date")).collect()}
+    first = {}
+    for u, f in pairs:
+        if day[f] and (u not in first or day[f] < first[u]):
+            first[u] = day[f]
+    out, report = labels.treatments(units, [features], 10.0)
+    assert {r[0]: r[1] for r in out.where("treated").select("unit_id", "treatment_date").collect()} == first and tuple(report.first()) == (200, 67)
+    assert rows_made(out) < 8000
