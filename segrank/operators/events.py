@@ -67,10 +67,16 @@ def assign(events: DataFrame, units: DataFrame, event_id: str = "crash_id", radi
     """
     if units.limit(1).count() == 0:
         raise SpatialJoinError("the universe is empty")
-    nodes = nearest_within(events, units.where("unit_type = 'intersection'"), radii.node_ft, event_id, "unit_id", path).withColumn("stage", F.lit("intersection"))
+    nodes = nearest_within(events, units.where("unit_type = 'intersection'"), radii.node_ft, event_id, "unit_id", path)
     rest = events.join(nodes.select(event_id), event_id, "left_anti")
-    lines = nearest_within(rest, units.where("unit_type = 'corridor'"), radii.join_ft, event_id, "unit_id", path).withColumn("stage", F.lit("corridor"))
-    return nodes.unionByName(lines)
+    return claims(nodes, nearest_within(rest, units.where("unit_type = 'corridor'"), radii.join_ft, event_id, "unit_id", path), event_id, radii)
+
+
+def claims(nodes: DataFrame, lines: DataFrame, event_id: str, radii: Radii) -> DataFrame:
+    """What assign() makes of each event's nearest junction and nearest segment, found within these radii or wider ones."""
+    near = nodes.where(F.col("distance") <= radii.node_ft).withColumn("stage", F.lit("intersection"))
+    rest = lines.where(F.col("distance") <= radii.join_ft).join(near.select(event_id), event_id, "left_anti")
+    return near.unionByName(rest.withColumn("stage", F.lit("corridor")))
 
 
 def assignment_report(reasoned: DataFrame, assigned: DataFrame, radii: Radii = DEFAULT_RADII) -> AssignmentReport:

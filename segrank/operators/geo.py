@@ -151,10 +151,34 @@ def near_points(points: DataFrame, lines: DataFrame, radius: float, point_id: st
     return _candidates(points, lines, radius, point_id, unit_id, path, x, y).groupBy(point_id, unit_id).agg(F.min("distance").alias("distance"))
 
 
+def _radii(points: DataFrame, radius: float, x: str, y: str) -> list[float]:
+    """Rising radii that end with ``radius``, in steps of four; the first is about the space between two points."""
+    at = F.struct(_cell(F.col(x), radius), _cell(F.col(y), radius))
+    n, cells = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count(F.lit(1)), F.approx_count_distinct(at)).first()
+    out = [radius]
+    while n and out[0] / 4 >= radius * math.sqrt(cells / n):
+        out.insert(0, out[0] / 4)
+    return out
+
+
 def nearest_within(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str = "path", x: str = "x", y: str = "y") -> DataFrame:
-    """point_id, unit_id, distance: for each point the nearest line within ``radius``, of equally near ones the smallest id."""
-    best = near_points(points, lines, radius, point_id, unit_id, path, x, y).groupBy(point_id).agg(F.min(F.struct("distance", unit_id)).alias("_b"))
-    return best.select(point_id, F.col(f"_b.{unit_id}").alias(unit_id), F.col("_b.distance").alias("distance"))
+    """point_id, unit_id, distance: for each point the nearest line within ``radius``, of equally near ones the smallest id.
+
+    A point with any line within a smaller radius has its nearest there, so crowded points are settled in small
+    cells, and only those without a line so near go on to the next radius.
+    """
+    if radius <= 0:
+        raise SpatialJoinError("a radius must be positive")
+    out, rest = None, points
+    steps = _radii(points, radius, x, y)
+    for r in steps:
+        best = _candidates(rest, lines, r, point_id, unit_id, path, x, y).groupBy(point_id).agg(F.min(F.struct("distance", unit_id)).alias("_b"))
+        found = best.select(point_id, F.col(f"_b.{unit_id}").alias(unit_id), F.col("_b.distance").alias("distance"))
+        if r < steps[-1]:
+            found = stored(found, "nearest")
+            rest = rest.join(found.select(point_id), point_id, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _both(left: DataFrame, right: DataFrame, radius: float, size: float, left_id: str, left_path: str, right_path: str, *keep: str) -> tuple[DataFrame, DataFrame, Column]:

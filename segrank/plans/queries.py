@@ -21,7 +21,7 @@ from segrank.operators import rank as rk
 from segrank.operators import score as sc
 from segrank.operators import universe as un
 from segrank.sources.sinks import scored_frame
-from segrank.sources.work import stored
+from segrank.sources.work import discard, stored
 
 AS_OF, HOLD_END = "2000-01-01 00:00:00", "2002-01-01 00:00:00"
 K = {"corridor": 0.8, "intersection": 1.3}
@@ -666,11 +666,11 @@ nf AS (SELECT nd.unit_id, min(sqrt(pow(nd.x-q.x,2)+pow(nd.y-q.y,2))) AS dist FRO
 SELECT *, round(r3 - r2, 6) AS lift FROM ({rows})"""
 
 
-def _sweep_units(universe, at, layers, radii):
-    """Units of one setting: events assigned, labels within the buffer, casualties before and after, and the blend."""
-    found = ev.assign(at, universe, "crash_id", radii).join(at.select("crash_id", "casualties", "late"), "crash_id")
+def _sweep_units(labelled, at, nearest, radii):
+    """Units of one setting, labelled already: events assigned, casualties before and after, and the blend."""
+    found = ev.claims(*nearest, "crash_id", radii).join(at.select("crash_id", "casualties", "late"), "crash_id")
     sums = found.groupBy("unit_id").agg(*(F.coalesce(F.sum(F.when(c, F.col("casualties"))), F.lit(0)).cast("bigint").alias(n) for n, c in (("casualties_36mo", ~F.col("late")), ("holdout_casualties", F.col("late")))))
-    units_ = ft.fill_join(labels.priority_labels(universe, *layers, radii.label_ft)[0], sums)
+    units_ = ft.fill_join(labelled, sums)
     units_ = units_.withColumn("spf_prediction", F.when(F.col("unit_type") == "corridor", F.greatest(geo.path_length("path") / 1000, F.lit(1e-9))).otherwise(1.0))
     blend = F.when(F.col("unit_type") == "corridor", md.empirical_bayes("spf_prediction", "casualties_36mo", K["corridor"])).otherwise(md.empirical_bayes("spf_prediction", "casualties_36mo", K["intersection"]))
     extra = {"borough": F.lit("TOWN"), "treated": F.lit(False), "treatment_date": F.lit(None).cast("timestamp_ntz"), "eb_estimate": F.round(blend, 9)}
@@ -679,7 +679,10 @@ def _sweep_units(universe, at, layers, radii):
 
 @query(_sweep_oracle())
 def i24_sensitivity(spark, d):
-    """Every setting assigns, labels, blends and evaluates anew; interval ends are random and so not among the columns."""
+    """Every setting assigns, labels, blends and evaluates by its own radii; interval ends are random and so not among the columns.
+
+    The nearest units are searched once within the widest radii, as in the SQL: who is nearest within a radius is who is nearest at all, if near enough.
+    """
     from segrank.plans.run import judge
     from segrank.plans.sweep import settings, sweep
 
@@ -687,7 +690,17 @@ def i24_sensitivity(spark, d):
     at = stored(points(spark, d).selectExpr(*(f"{e} AS {c}" for c, e in SWEEP_EVENTS.items())), "events")
     # the published list covers one part of the town
     layers = [stored(df.where(F.element_at("path", 1)["y"] - dy < -400), "layer") for df, dy in zip(_features(spark, d), (700, 41), strict=True)]
-    rows = sweep(lambda radii: judge(_sweep_units(universe, at, layers, radii), K)[1], settings())
+    runs = settings()
+    widest = Radii(*(max(getattr(r, c) for _, r in runs) for c in ("join_ft", "node_ft", "label_ft")))
+    nearest = [stored(geo.nearest_within(at, universe.where(F.col("unit_type") == t), r, "crash_id", "unit_id"), "nearest") for t, r in (("intersection", widest.node_ft), ("corridor", widest.join_ft))]
+    labelled = {r: stored(labels.priority_labels(universe, *layers, r)[0], "labelled") for r in sorted({r.label_ft for _, r in runs})}
+
+    def one(radii):
+        scored_, summary = judge(_sweep_units(labelled[radii.label_ft], at, nearest, radii), K, brief=True)
+        discard(scored_)
+        return summary
+
+    rows = sweep(one, runs)
     keep = lambda r: (r["knob"], r["value"], r["tag"], r["n"], r["holdout"], *(round(r[c], 6) for c in ("r1", "r2", "r3")), round(round(r["r3"], 6) - round(r["r2"], 6), 6))
     return spark.createDataFrame([keep(r) for r in rows], "knob string, value double, tag string, n long, holdout long, r1 double, r2 double, r3 double, lift double")
 

@@ -459,3 +459,16 @@ def test_earliest_treatment_in_a_crowd_makes_no_pairs(crowd):
     out, report = labels.treatments(units, [features], 10.0)
     assert {r[0]: r[1] for r in out.where("treated").select("unit_id", "treatment_date").collect()} == first and tuple(report.first()) == (200, 67)
     assert rows_made(out) < 8000
+
+
+def test_nearest_in_a_crowd_takes_small_cells_first(spark, crowd):
+    rng = __import__("random").Random(6)
+    rows = [(i, rng.uniform(-200, 500), rng.uniform(-200, 500)) for i in range(2000)] + [(2000, 20100.0, 150.0), (2001, 9000.0, 0.0), (2002, None, 1.0)]
+    p = spark.createDataFrame(rows, "id int, x double, y double").persist()
+    steps = geo._radii(p, 250.0, "x", "y")
+    assert len(steps) > 1 and steps[-1] == 250.0
+    best = geo.near_points(p, crowd[0], 250.0, "id", "unit_id").groupBy("id").agg(F.min(F.struct("distance", "unit_id")).alias("b"))
+    plain = {(r[0], r[1]["unit_id"], r[1]["distance"]) for r in best.collect()}
+    assert {tuple(r) for r in geo.nearest_within(p, crowd[0], 250.0, "id", "unit_id").collect()} == plain and 1900 < len(plain) < 2002
+    first = geo._candidates(p, crowd[0], steps[0], "id", "unit_id", "path", "x", "y").count()
+    assert first < geo._candidates(p, crowd[0], 250.0, "id", "unit_id", "path", "x", "y").count() / 10
