@@ -127,6 +127,7 @@ def _cells(rows: DataFrame, size: float, around: float) -> DataFrame:
     high = lambda a, b, i: _cell(F.greatest(part(a, b, i), part(a, b, i + 1)) + around, size)
     box = lambda i: F.flatten(F.transform(F.sequence(low("ax", "bx", i), high("ax", "bx", i)), lambda cx: F.transform(F.sequence(low("ay", "by", i), high("ay", "by", i)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
     at = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), box)))
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # a small file can be many cells
     rows = rows.withColumn("_n", n).withColumn("_at", F.explode(at))
     return rows.withColumns({"cx": F.col("_at.cx"), "cy": F.col("_at.cy")}).drop("_n", "_at")
 
@@ -143,7 +144,8 @@ def _candidates(points: DataFrame, lines: DataFrame, radius: float, point_id: st
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"), _cell(F.col(x), radius).alias("cx"), _cell(F.col(y), radius).alias("cy"))
     right = _cells(pieces(lines, path, unit_id), radius, radius)
     d = point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
-    return left.join(right, ["cx", "cy"]).select(point_id, unit_id, d.alias("distance")).where(F.col("distance") <= radius)
+    # the planner takes exploded cells for few and would broadcast them
+    return _dealt(left).join(_dealt(right).hint("merge"), ["cx", "cy"]).select(point_id, unit_id, d.alias("distance")).where(F.col("distance") <= radius)
 
 
 def near_points(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str = "path", x: str = "x", y: str = "y") -> DataFrame:
