@@ -17,6 +17,7 @@ from segrank.sources.work import stored
 
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 PATH = "array<struct<x:double,y:double>>"
+ENDS = ("ax", "ay", "bx", "by")
 
 
 def parse_wkt(wkt: Column | str) -> Column:
@@ -112,11 +113,11 @@ def pieces(df: DataFrame, path: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.col("_e.a.x").alias("ax"), F.col("_e.a.y").alias("ay"), F.col("_e.b.x").alias("bx"), F.col("_e.b.y").alias("by")).where("ax is not null and ay is not null and bx is not null and by is not null")
 
 
-def _cell(c: Column, size: float) -> Column:
+def _cell(c: Column, size: float | Column) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
-def _cells(rows: DataFrame, size: float, around: float) -> DataFrame:
+def _cells(rows: DataFrame, size: float | Column, around: float) -> DataFrame:
     """Adds cx, cy of every cell that the piece, cut into parts no longer than two cells and widened by ``around``, may touch, each once.
 
     Long pieces are cut first, so that a diagonal doesn't fill its whole bounding box.
@@ -132,9 +133,9 @@ def _cells(rows: DataFrame, size: float, around: float) -> DataFrame:
     return rows.withColumns({"cx": F.col("_at.cx"), "cy": F.col("_at.cy")}).drop("_n", "_at")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, cx: str = "cx", cy: str = "cy") -> DataFrame:
     """Rows dealt by cell to a fixed number of tasks: few bytes can be much work here, and AQE would merge them into one task."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), cx, cy)
 
 
 def _candidates(points: DataFrame, lines: DataFrame, radius: float, point_id: str, unit_id: str, path: str, x: str, y: str) -> DataFrame:
@@ -183,18 +184,23 @@ def nearest_within(points: DataFrame, lines: DataFrame, radius: float, point_id:
     return out
 
 
-def _both(left: DataFrame, right: DataFrame, radius: float, size: float, left_id: str, left_path: str, right_path: str, *keep: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Pieces of both sides by cell, and the test whether two of them are within ``radius``: exact, with nothing buffered."""
-    require_columns(left, [left_id, left_path], SpatialJoinError)
-    require_columns(right, [right_path, *keep], SpatialJoinError)
-    a = _cells(pieces(left, left_path, left_id), size, 0.0)
-    b = _cells(pieces(right, right_path, *keep), size, radius).select(*keep, "cx", "cy", *(F.col(c).alias(f"r{c}") for c in ("ax", "ay", "bx", "by")))
+def _near(radius: float) -> Column:
+    """Whether the pieces ax..by and rax..rby are within ``radius``: exact, with nothing buffered."""
     p, q, r, s = ((F.col(k + "x"), F.col(k + "y")) for k in ("a", "b", "ra", "rb"))
     side = lambda o, u, v: (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
     crossing = (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
     gap = F.least(point_segment_distance(*p, *r, *s), point_segment_distance(*q, *r, *s), point_segment_distance(*r, *p, *q), point_segment_distance(*s, *p, *q))
     apart = lambda c: (F.greatest(f"a{c}", f"b{c}") + radius * 1.001 < F.least(f"ra{c}", f"rb{c}")) | (F.greatest(f"ra{c}", f"rb{c}") + radius * 1.001 < F.least(f"a{c}", f"b{c}"))
-    return _dealt(a), _dealt(b), ~apart("x") & ~apart("y") & (crossing | (gap <= radius))  # boxes are cheap and tell most pairs apart
+    return ~apart("x") & ~apart("y") & (crossing | (gap <= radius))  # boxes are cheap and tell most pairs apart
+
+
+def _both(left: DataFrame, right: DataFrame, radius: float, size: float, left_id: str, left_path: str, right_path: str, *keep: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Pieces of both sides by cell, and the test whether two of them are within ``radius``."""
+    require_columns(left, [left_id, left_path], SpatialJoinError)
+    require_columns(right, [right_path, *keep], SpatialJoinError)
+    a = _cells(pieces(left, left_path, left_id), size, 0.0)
+    b = _cells(pieces(right, right_path, *keep), size, radius).select(*keep, "cx", "cy", *(F.col(c).alias(f"r{c}") for c in ENDS))
+    return _dealt(a), _dealt(b), _near(radius)
 
 
 def lines_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_path: str = "path", right_path: str = "path") -> DataFrame:
@@ -218,6 +224,39 @@ def touching(left: DataFrame, right: DataFrame, radius: float, left_id: str, lef
     return a.join(b, (F.col("cx") == F.col("rcx")) & (F.col("cy") == F.col("rcy")) & near, "left_semi").select(left_id).distinct()
 
 
+def untouched(left: DataFrame, right: DataFrame, radius: float, group: str, left_id: str, left_path: str = "path", right_path: str = "path") -> DataFrame:
+    """group, left_id of lines (or points) that have none of ``right`` in the same ``group`` within ``radius``.
+
+    Both sides bear ``group``; it has few values, and cells of its own width for each. Pieces at the same place are
+    tested once, and each stops at its first hit. It is first tried in the cell of its middle alone, which settles most
+    of a crowd, and only lines without a hit there are put into all their cells. Both sides are stored first, as each
+    of these steps reads them.
+    """
+    require_columns(left, [group, left_id, left_path], SpatialJoinError)
+    require_columns(right, [group, right_path], SpatialJoinError)
+    both = left.select(group, left_id, F.col(left_path).alias("_p"), F.lit(True).alias("_l")).unionByName(right.select(group, F.col(right_path).alias("_p"), F.lit(False).alias("_l")), allowMissingColumns=True)
+    both = stored(both, "sides")
+    left, right = both.where("_l"), both.where("not _l")
+    long = F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    width = F.lit(2.0 * radius)
+    for g, mean in pieces(left, "_p", group).groupBy(group).agg(long).collect():
+        width = F.when(F.col(group) == g, F.lit(max(2.0 * radius, (mean or 0.0) / 4))).otherwise(width)
+    shapes, size = pieces(left, "_p", group, left_id), F.col("_w")
+    places = lambda rows: rows.select(group, *ENDS).distinct().withColumn("_w", width)
+    b = _cells(places(pieces(right, "_p", group)), size, radius)
+    b = _dealt(b.select(F.col(group).alias("_rgroup"), F.col("cx").alias("rcx"), F.col("cy").alias("rcy"), *(F.col(c).alias(f"r{c}") for c in ENDS)), "rcx", "rcy").hint("merge")
+    same = (F.col(group) == F.col("_rgroup")) & (F.col("cx") == F.col("rcx")) & (F.col("cy") == F.col("rcy")) & _near(radius)
+    middle = lambda c: _cell((F.col(f"a{c}") + F.col(f"b{c}")) / 2, size)
+
+    def hits(a: DataFrame) -> DataFrame:
+        at = _dealt(a).join(b, same, "left_semi").select(group, *ENDS).distinct()
+        return shapes.join(at.hint("merge"), [group, *ENDS], "left_semi").select(group, left_id).distinct()
+
+    first = stored(hits(places(shapes).withColumns({"cx": middle("x"), "cy": middle("y")})), "hit")
+    rest = hits(_cells(places(shapes.join(first.hint("merge"), [group, left_id], "left_anti")), size, 0.0))
+    return left.select(group, left_id).join(first.unionByName(rest).hint("merge"), [group, left_id], "left_anti")
+
+
 def least_within(left: DataFrame, right: DataFrame, radius: float, left_id: str, value: str, left_path: str = "path", right_path: str = "path") -> DataFrame:
     """left_id and the smallest ``value`` of those of ``right`` within ``radius``.
 

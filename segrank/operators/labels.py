@@ -7,25 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from segrank.config import DEFAULT_RADII, TREATMENT_DATE_COLUMNS, TREATMENT_FT
 from segrank.functions.guards import SpatialJoinError, require_columns
 from segrank.functions.scalars import instant
-from segrank.operators.geo import cell_width, least_within, touching
+from segrank.operators.geo import least_within, touching, untouched
 
 
-def priority_labels(units: DataFrame, corridors: DataFrame, nodes: DataFrame, radius: float = DEFAULT_RADII.label_ft, feature_id: str = "feature_id", path: str = "path") -> tuple[DataFrame, DataFrame]:
-    """units with is_priority and vzv_source, and the features that matched nothing (layer, feature_id).
+def labelled(units: DataFrame, corridors: DataFrame, nodes: DataFrame, radius: float = DEFAULT_RADII.label_ft, path: str = "path") -> DataFrame:
+    """units with is_priority and vzv_source.
 
     The corridor layer labels both kinds of unit, the node layer junctions only. The number of units stays.
     """
     shapes = units.select("unit_id", "unit_type", F.col(path).alias("_u"))
     layers = (("corridor", corridors, shapes), ("intersection", nodes, shapes.where("unit_type = 'intersection'")))
-    labelled, matched = [], []
-    for name, features, of in layers:
-        width = cell_width(features, radius, path)
-        labelled.append(touching(of, features, radius, "unit_id", "_u", path, width).withColumn("layer", F.lit(name)))
-        matched.append(touching(features, of, radius, feature_id, path, "_u", width).select(F.lit(name).alias("layer"), feature_id))
-    flags = labelled[0].unionByName(labelled[1]).groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set("layer")), "+").alias("vzv_source"))
-    out = units.join(flags, "unit_id", "left").withColumn("is_priority", F.col("vzv_source").isNotNull())
-    every = corridors.select(F.lit("corridor").alias("layer"), feature_id).unionByName(nodes.select(F.lit("intersection").alias("layer"), feature_id))
-    return out, every.join(matched[0].unionByName(matched[1]), ["layer", feature_id], "left_anti")
+    found = [touching(of, features, radius, "unit_id", "_u", path).withColumn("layer", F.lit(name)) for name, features, of in layers]
+    flags = found[0].unionByName(found[1]).groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set("layer")), "+").alias("vzv_source"))
+    return units.join(flags, "unit_id", "left").withColumn("is_priority", F.col("vzv_source").isNotNull())
+
+
+def unmatched(units: DataFrame, corridors: DataFrame, nodes: DataFrame, radius: float = DEFAULT_RADII.label_ft, feature_id: str = "feature_id", path: str = "path") -> DataFrame:
+    """layer, feature_id of the features that label no unit."""
+    of = F.when(F.col("unit_type") == "intersection", F.array(F.lit("corridor"), F.lit("intersection"))).otherwise(F.array(F.lit("corridor")))
+    shapes = units.select(F.explode(of).alias("layer"), F.col(path).alias("_u"))
+    features = [f.select(F.lit(name).alias("layer"), feature_id, path) for name, f in (("corridor", corridors), ("intersection", nodes))]
+    return untouched(features[0].unionByName(features[1]), shapes, radius, "layer", feature_id, path, "_u")
+
+
+def priority_labels(units: DataFrame, corridors: DataFrame, nodes: DataFrame, radius: float = DEFAULT_RADII.label_ft, feature_id: str = "feature_id", path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """labelled() and unmatched()."""
+    return labelled(units, corridors, nodes, radius, path), unmatched(units, corridors, nodes, radius, feature_id, path)
 
 
 def treatment_date_column(layer: DataFrame) -> str:

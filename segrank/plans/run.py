@@ -62,7 +62,7 @@ def build_units(spark: SparkSession, snapshot: str, radii: Radii = DEFAULT_RADII
     lines = with_srid(lines.withColumn("parts", F.transform("parts", project_path)), "parts", CRS_PROJECTED)
     units = un.build_universe(lines).persist()
     layer = lambda key: features_of(with_stored_id(snapshots.read_geo(spark, snapshot, key), "feature_id", key))
-    units_, _ = lb.priority_labels(units, layer("vzv_corridors"), layer("vzv_intersections"), radii.label_ft)
+    units_ = lb.labelled(units, layer("vzv_corridors"), layer("vzv_intersections"), radii.label_ft)
     sips = [layer(k) for k in ("sip_corridors", "sip_intersections") if os.path.exists(f"{snapshot}/{k}.parquet")]
     if sips:
         units_, _ = lb.treatments(units_, sips)

@@ -449,6 +449,34 @@ def test_unmatched_features_of_a_crowd_make_no_pairs(crowd):
     assert rows_made(lost) < 8000
 
 
+def test_unmatched_features_are_settled_in_one_cell_each(spark, monkeypatch):
+    rng = __import__("random").Random(7)
+    spot = lambda far=0.0: (far + rng.uniform(0, 300), rng.uniform(0, 300))
+    shape = "path array<struct<x:double,y:double>>"
+    units = spark.createDataFrame([(f"C{i}", "corridor", [spot(), spot()]) for i in range(80)] + [(f"I{i}", "intersection", [spot()]) for i in range(80)], f"unit_id string, unit_type string, {shape}").persist()
+    lines = spark.createDataFrame([(i, [spot(), spot()]) for i in range(1500)] + [(1500 + i, [spot(400.0), spot(400.0)]) for i in range(20)] + [(1520, [spot(400.0), (400.0, 0.0), (0.0, 300.0)]), (1521, None), (1522, [])], f"feature_id int, {shape}").persist()
+    points = spark.createDataFrame([(i, [spot()]) for i in range(300)], f"feature_id int, {shape}").persist()
+    hit = {("corridor", r[0]) for r in geo.lines_within(units, lines, 10.0, "unit_id", "feature_id").select("feature_id").collect()}
+    hit |= {("intersection", r[0]) for r in geo.lines_within(units.where("unit_type = 'intersection'"), points, 10.0, "unit_id", "feature_id").select("feature_id").collect()}
+    steps, store = [], geo.stored
+    monkeypatch.setattr(geo, "stored", lambda df, name: store(steps.append(df) or df, name))
+    lost = labels.priority_labels(units, lines, points, 10.0)[1]
+    every = {("corridor", i) for i in range(1523)} | {("intersection", i) for i in range(300)}
+    assert sorted(map(tuple, lost.collect())) == sorted(every - hit) and 1500 < len(hit) < 1800
+    assert max(map(rows_made, [*steps, lost])) < 5000  # 12,634 when all features are put into all their cells
+
+
+def test_unmatched_copies_are_tested_once(spark, monkeypatch):
+    shape = "path array<struct<x:double,y:double>>"
+    units = spark.createDataFrame([(f"C{i}", "corridor", [(0.0, 0.0), (200.0, 0.0)]) for i in range(400)], f"unit_id string, unit_type string, {shape}")
+    lines = spark.createDataFrame([(i, [(0.0, 15.0), (200.0, 15.0)]) for i in range(400)] + [(400, [(50.0, 5.0), (60.0, 5.0)]), (401, [(50.0, 5.0), (60.0, 5.0)])], f"feature_id int, {shape}")
+    steps, store = [], geo.stored
+    monkeypatch.setattr(geo, "stored", lambda df, name: store(steps.append(df) or df, name))
+    lost = labels.unmatched(units, lines, lines.limit(0), 10.0)
+    assert sorted(map(tuple, lost.collect())) == [("corridor", i) for i in range(400)]
+    assert max(map(rows_made, [*steps, lost])) < 1000  # 4,800 when each copy is put into all its cells
+
+
 def test_earliest_treatment_in_a_crowd_makes_no_pairs(crowd):
     units, features, pairs = crowd
     day = {r[0]: r[1] for r in features.select("feature_id", fn.instant("completion_date")).collect()}
